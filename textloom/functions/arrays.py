@@ -29,14 +29,23 @@ def drop(array: Column, n: Column) -> Column:
     return F.slice(array, start + 1, F.greatest(F.size(array) - start, F.lit(0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside a lambda Spark evaluates a captured expression anew per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def softmax(logits: Column) -> Column:
     """Softmax over one array, shifted by its maximum."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda e: e / total(exps))
+    logits = logits.cast("array<double>")
+    exps = let(F.array_max(logits), lambda peak: F.transform(logits, lambda x: F.exp(x - peak)))
+    return let(exps, lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def clamp01(x: Column) -> Column:

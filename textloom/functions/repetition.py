@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let
 from textloom.functions.text import collapse, null_to_empty, split_sentences, strip, words
 
 # Fixed values of the penalty curves.
@@ -45,7 +46,10 @@ def rep_ngram_penalty(text: Column, n: int = WORD_ORDER, level: str = "word") ->
     else:
         raise ValueError(f"level must be 'word' or 'char', not {level!r}")
     # 2n tokens make n + 1 grams.
-    return F.when(F.size(grams) > n, 1.0 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(0.0)
+    return let(
+        grams,
+        lambda g: F.when(F.size(g) > n, 1.0 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0),
+    )
 
 
 def _longest_equal_run(tokens: Column) -> Column:
