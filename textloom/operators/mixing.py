@@ -122,52 +122,52 @@ def plan_table(spark, entries: Sequence[MixEntry], chrf_eval_n: int | None = Non
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
-def dataset_mix(data: DataFrame, plan: DataFrame, key: Column, order: Sequence[Column], seed: int, leak_safe: bool = True) -> DataFrame:
+def dataset_mix(
+    data: DataFrame, plan: DataFrame, key: Sequence[str], order: Sequence[Column], seed: int, leak_safe: bool = True
+) -> DataFrame:
     """Apply a whole mix plan: split, repeat and sample every dataset at once.
 
-    ``data`` has a ``name`` column naming the dataset.  Adds ``part`` (``train``
-    or ``eval``), ``eval_group`` and ``copy``.  With ``leak_safe`` copies are
-    made after the split, so no row is on both sides; otherwise before it.
-    The plan is a settings list of a few rows and is broadcast.
+    ``data`` has a ``name`` column naming the dataset and a ``key`` unique in it.
+    Adds ``part`` (``train`` or ``eval``), ``eval_group`` and ``copy``.  With
+    ``leak_safe`` copies of training rows are made after the split, so no row is
+    on both sides; otherwise before it.  The plan is a settings list of a few
+    rows and is broadcast.
+
+    One ranking of the bare keys serves all datasets: a training set is ranked
+    in a seeded order, an eval set in its stored order when it takes the first
+    n rows and in a seeded order when it takes a share.
     """
+    is_train = F.col("role") == "train"
     settings = F.broadcast(plan.select("name", "role", "repeat", "sample_frac", "sample_n", "val_ratio"))
-    rows = data.join(settings, "name").withColumn("_key", key.cast("string"))
-    if leak_safe:
-        rows = rows.withColumn("copy", F.lit(1))
-    else:
-        rows = repeat_rows(rows, F.col("repeat")).withColumn("_key", F.concat_ws("/", "_key", "copy"))
-
-    # 1. role and held-out rows: rank in a seeded order of each dataset.
-    ranked = number_by_hash(with_group_size(rows, ["name"]), ["name"], F.col("_key"), seed, "_rank")
-    held_out = (F.col("role") == "train") & (F.col("_rank") <= _val_rows(F.col("_size"), F.col("val_ratio")))
-    split = ranked.withColumn(
-        "eval_group",
-        F.when(F.col("role") == "eval", F.col("name")).when(held_out, F.concat("name", F.lit("_val"))),
+    early = F.lit(True) if not leak_safe else ~is_train
+    rows = repeat_rows(data.join(settings, "name"), F.when(early, F.col("repeat")).otherwise(1))
+
+    seeded = is_train | (F.col("sample_n").isNull() & F.col("sample_frac").isNotNull())
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("copy").cast("string")))
+    ids = ["name", *key, "copy"]
+    keys = rows.select(*ids, F.when(seeded, draw).alias("_draw"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    ranking = [F.asc("_draw"), *[F.asc(f"_o{i}") for i in range(len(order))], *[F.asc(k) for k in (*key, "copy")]]
+    ranks = number_rows(keys, ["name"], ranking, "_rank").select(*ids, "_rank")
+    ranked = with_group_size(rows.join(ranks, ids), ["name"])
+
+    rank, size = F.col("_rank"), F.col("_size")
+    eval_size = F.when(is_train, _val_rows(size, F.col("val_ratio"))).otherwise(size)
+    in_eval = rank <= eval_size
+    share = F.greatest(F.lit(1), F.rint(eval_size * F.col("sample_frac")))
+    wanted = F.coalesce(F.col("sample_n"), share.cast("bigint"), eval_size)
+    split = (
+        ranked.where(~in_eval | (rank <= wanted))
+        .withColumn("part", F.when(in_eval, "eval").otherwise("train"))
+        .withColumn(
+            "eval_group",
+            F.when(~in_eval, F.lit(None)).when(is_train, F.concat("name", F.lit("_val"))).otherwise(F.col("name")),
+        )
     )
-    train = split.where(F.col("eval_group").isNull()).withColumn("part", F.lit("train"))
     if leak_safe:
-        train = repeat_rows(train, F.col("repeat"))
-
-    # 2. sampling of the eval parts: a held-out part follows its seeded order,
-    #    an eval dataset its stored order; a fraction draws a new seeded order.
-    evals = split.where(F.col("eval_group").isNotNull()).withColumn("part", F.lit("eval")).drop("_size")
-    if leak_safe:
-        evals = evals.where(F.col("role") == "train").unionByName(
-            repeat_rows(evals.where(F.col("role") == "eval"), F.col("repeat"))
-        ).withColumn("_key", F.concat_ws("/", "_key", "copy"))
-    evals = with_group_size(evals, ["eval_group"])
-    by_n = evals.where(F.col("sample_n").isNotNull())
-    by_frac = evals.where(F.col("sample_n").isNull() & F.col("sample_frac").isNotNull())
-    whole = evals.where(F.col("sample_n").isNull() & F.col("sample_frac").isNull())
-    stored = F.when(F.col("role") == "train", F.col("_rank")).otherwise(0)
-    taken_n = number_rows(by_n, ["eval_group"], [stored, *order, F.asc("copy")], "_at").where(
-        F.col("_at") <= F.col("sample_n")
-    )
-    taken_frac = number_by_hash(by_frac, ["eval_group"], F.col("_key"), seed + 1, "_at").where(
-        F.col("_at") <= F.greatest(F.lit(1), F.rint(F.col("_size") * F.col("sample_frac")))
-    )
-    keep = [*data.columns, "part", "eval_group", "copy"]
-    return concat_parts([p.select(*keep) for p in (train, taken_n, taken_frac, whole)])
+        split = repeat_rows(
+            split.withColumnRenamed("copy", "_early"), F.when(F.col("part") == "train", F.col("repeat")).otherwise(1)
+        ).withColumn("copy", F.greatest("copy", "_early"))
+    return split.select(*data.columns, "part", "eval_group", "copy")
 
 
 def mix_summary(mixed: DataFrame, plan: DataFrame) -> DataFrame:
@@ -218,13 +218,14 @@ def pack_sequences(df: DataFrame, row_id: str, max_length: int, batch_rows: int
     )
 
 
-def pad_batches(df: DataFrame, key: Sequence[Column], batch_size: int, pad_id: int = 0, multiple: int = 8) -> DataFrame:
+def pad_batches(df: DataFrame, key: Sequence[str], batch_size: int, pad_id: int = 0, multiple: int = 8) -> DataFrame:
     """Batches of rows of like length, padded to a multiple.
 
-    Ids are filled with ``pad_id``, the mask with 0, labels with -100.
+    Ids are filled with ``pad_id``, the mask with 0, labels with -100.  Only
+    keys and lengths are sorted; ``key`` must be unique.
     """
-    sized = df.withColumn("_len", F.size("input_ids"))
-    numbered = number_rows(sized, [], [F.asc("_len"), *key], "_at").withColumn(
+    lengths = df.select(*key, F.size("input_ids").alias("_len"))
+    numbered = number_rows(lengths, [], [F.asc("_len"), *[F.asc(k) for k in key]], "_at").withColumn(
         "batch", F.floor((F.col("_at") - 1) / F.lit(batch_size))
     )
     widths = numbered.groupBy("batch").agg(
@@ -232,9 +233,8 @@ def pad_batches(df: DataFrame, key: Sequence[Column], batch_size: int, pad_id: i
     )
     width = F.col("width")
     return (
-        numbered.join(widths, "batch")
+        df.join(numbered.join(widths, "batch").select(*key, "batch", "width"), list(key))
         .withColumn("input_ids", pad_right(F.col("input_ids"), width, pad_id))
         .withColumn("attention_mask", pad_right(F.col("attention_mask"), width, 0))
         .withColumn("labels", pad_right(F.col("labels"), width, IGNORE))
-        .drop("_len", "_at")
     )
