@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHAR_ORDER = 6
 WORD_ORDER = 2
@@ -23,6 +24,7 @@ BETA = 2.0
 
 _PUNCTUATION = frozenset(string.punctuation)
 _CODE_LIMIT = 1 << 62
+_COUNTS = T.ArrayType(T.LongType())
 # Characters counted together; bounds the memory of a batch of long texts.
 _CHUNK_CHARS = 1 << 21
 
@@ -110,7 +112,7 @@ def _chunks(lengths: np.ndarray) -> Iterator[slice]:
         yield slice(int(lo), int(hi))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_COUNTS)
 def _chrf_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     rows: list[np.ndarray] = []
     for part in _chunks((hyp.str.len() + ref.str.len()).to_numpy()):
@@ -124,7 +126,7 @@ def _chrf_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(rows, index=hyp.index, dtype=object)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(_COUNTS)
 def _token_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     rows: list[np.ndarray] = []
     for part in _chunks((hyp.map(len) + ref.map(len)).to_numpy(dtype=np.int64)):

@@ -116,13 +116,12 @@ def looping_penalty(
 ) -> Column:
     """How far the sentences follow one short cycle, from 60% (0) to 100% (1)."""
     n = F.size(sentences)
-    # One pass: the sentences that agree with the cycle of each period.  A
-    # period that does not fit min_repeats times counts nothing.
+    # A period that does not fit min_repeats times counts nothing.
+    def agreeing(period: int) -> Column:
+        return F.size(F.filter(sentences, lambda s, i: s == F.get(sentences, i % period)))
+
     hits = [
-        F.when(
-            n >= period * min_repeats,
-            F.size(F.filter(sentences, lambda s, i, p=period: s == F.get(sentences, i % p))),
-        ).otherwise(0)
+        F.when(n >= period * min_repeats, agreeing(period)).otherwise(0)
         for period in range(1, max_period + 1)
     ]
     cover = F.greatest(*hits, F.lit(0)) / n

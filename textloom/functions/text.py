@@ -73,7 +73,7 @@ def words(text: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """Sentences of a text.  Newlines count as spaces, not as sentence ends."""
     pieces = F.split(collapse(null_to_empty(text)), f"[{SENTENCE_MARKS}]+")
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def lid_code(label: Column) -> Column:

@@ -31,22 +31,18 @@ def gram_overlap(df: DataFrame, keys: Sequence[str], hyp_tokens: str, ref_tokens
     the rows are and no gram crosses the network.  An order without any gram
     keeps its row of zeros.
     """
+    def grams_of(tokens: Column, n: int, is_ref: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+
+        def gram(i: Column) -> Column:
+            text = F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+            return F.struct(F.lit(n).alias("order"), text.alias("gram"), F.lit(is_ref).alias("is_ref"))
+
+        none = F.array().cast("array<struct<order:int,gram:string,is_ref:int>>")
+        return F.when(F.size(tokens) >= n, F.transform(starts, gram)).otherwise(none)
+
     def grams(tokens: Column, is_ref: int) -> Column:
-        per_order = [
-            F.when(
-                F.size(tokens) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                    lambda i, n=n: F.struct(
-                        F.lit(n).alias("order"),
-                        F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"),
-                        F.lit(is_ref).alias("is_ref"),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<order:int,gram:string,is_ref:int>>"))
-            for n in range(1, max_order + 1)
-        ]
-        return F.concat(*per_order)
+        return F.concat(*[grams_of(tokens, n, is_ref) for n in range(1, max_order + 1)])
 
     # A gramless marker per order keeps rows and orders that have no gram.
     markers = F.array(*[

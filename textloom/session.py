@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", app_name: str = "textloom") -> SparkSes
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

@@ -154,9 +154,9 @@ def read_tokenized(spark: SparkSession, path: str, split: str = "train") -> Data
     """Rows of one split of a tokenized set, or of the first split if absent."""
     table = spark.read.parquet(path)
     if "split" in table.columns:
-        splits = sorted(r[0] for r in table.select("split").distinct().collect())
-        chosen = split if split in splits else splits[0]
-        table = table.where(F.col("split") == chosen).drop("split")
+        if table.where(F.col("split") == split).isEmpty():
+            split = table.agg(F.min("split")).first()[0]
+        table = table.where(F.col("split") == split).drop("split")
     return require_columns(table, TOKENIZED_COLUMNS, path)
 
 
