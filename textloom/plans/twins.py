@@ -146,7 +146,7 @@ EDITED = f"""
     edited AS (
         SELECT *, array_to_string(hyp_tokens, ' ') AS hyp
         FROM (SELECT doc_id, lang, text AS ref, ref_tokens,
-                     list_transform(list_filter(range(0, len(ref_tokens)), lambda i: i % 3 <> 2), lambda i: ref_tokens[i + 1]) AS hyp_tokens
+                     list_filter(ref_tokens, lambda w, i: i % 3 <> 0) AS hyp_tokens
               FROM (SELECT *, {words('text')} AS ref_tokens FROM documents)))"""
 
 
