@@ -192,12 +192,14 @@ def macro_prob(spark, sf_dir):
 
 
 @query("dialect_dims", f"""
-    SELECT vec_id, dialect, class_idx::INT AS class_idx, dialect_name, macro
+    SELECT vec_id, dialect, coalesce(class_idx, -1)::INT AS class_idx, dialect_name, macro
     FROM (SELECT vec_id, {_CODES_SQL}[vec_id % 20 + 1] AS dialect FROM embeddings)
     LEFT JOIN {T.CLASS_VALUES} ON country = dialect""")
 def dialect_dims(spark, sf_dir):
     vectors = _vectors(spark, sf_dir).select("vec_id", "dialect")
-    return D.with_dialect_class(vectors).select("vec_id", "dialect", "class_idx", "dialect_name", "macro")
+    return D.with_dialect_class(vectors).select(
+        "vec_id", "dialect", F.coalesce("class_idx", F.lit(-1)).alias("class_idx"), "dialect_name", "macro"
+    )
 
 
 @query("unknown_dialects", f"""
