@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import eval_queries, mix_queries, rank_queries, text_queries  # noqa: F401  (registers the queries)
+from textloom.plans import eval_queries, log_queries, mix_queries, rank_queries, text_queries  # noqa: F401  (registers the queries)
 from textloom.plans.registry import ORACLES, QUERIES
 
 
