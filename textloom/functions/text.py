@@ -17,8 +17,16 @@ _SPACE_RANGES = [
 SPACES = "".join(chr(c) for lo, hi in _SPACE_RANGES for c in range(lo, hi + 1))
 SPACE_CLASS = "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in _SPACE_RANGES) + "]"
 
+# The same class for Java: one bit set for Latin-1, and a single range test that
+# sends other letters past the wide spaces.
+_SPACE = (
+    r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]]"
+)
+
 # The marks that end a sentence (Latin, Arabic, Chinese/Japanese).
 SENTENCE_MARKS = ".!?؟؛;。！？"
+_SENTENCE_END = r"[.!?;[\u061B-\uFF1F&&[؟؛。！？]]]"
 
 # The markers a CSV reader takes as "no value".
 NA_MARKERS = [
@@ -35,7 +43,7 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Strip, then turn each run of white space into one space."""
-    return F.regexp_replace(strip(text), SPACE_CLASS + "+", " ")
+    return F.regexp_replace(strip(text), _SPACE + "+", " ")
 
 
 def null_to_empty(text: Column) -> Column:
@@ -66,14 +74,14 @@ def escape_newlines(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty text has none."""
-    collapsed = collapse(null_to_empty(text))
-    return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " "))
+    pieces = F.split(strip(null_to_empty(text)), _SPACE + "+")
+    return F.array_remove(pieces, "")
 
 
 def split_sentences(text: Column) -> Column:
     """Sentences of a text.  Newlines count as spaces, not as sentence ends."""
-    pieces = F.split(collapse(null_to_empty(text)), f"[{SENTENCE_MARKS}]+")
-    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+    pieces = F.split(collapse(null_to_empty(text)), _SENTENCE_END + "+")
+    return F.array_remove(F.transform(pieces, lambda s: F.trim(s)), "")
 
 
 def lid_code(label: Column) -> Column:

@@ -13,18 +13,22 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.ngrams import chrf_matrix
 from textloom.functions.repetition import with_repetition
 from textloom.operators.candidates import candidate_softmax, group_softmax
 from textloom.operators.slices import number_rows
+from textloom.session import durable
 
 BLOCK_TEXTS = 64
 BLOCK_CHARS = 1 << 20
 # Fixed value: weight of each repetition penalty in the final risk.
 REPETITION_WEIGHT = 0.1
+TIE_DIGITS = 12
+
+SCORES = ["p_model", "risk", "word_rep_penalty", "sent_rep_penalty", "risk_final", "p_risk"]
 
 Similarity = Callable[[Sequence[str], Sequence[str]], np.ndarray]
 
@@ -99,26 +103,12 @@ def expected_risk(
     return candidates.join(risks, ["prompt_id", "completion"])
 
 
-def final_risk(
-    scored: DataFrame, risk_temperature: float = 1.0, repetition_weight: float = REPETITION_WEIGHT
-) -> DataFrame:
-    """Add the penalties, ``risk_final`` and its softmax ``p_risk``."""
-    penalised = with_repetition(scored).withColumn(
+def penalised_risk(risked: DataFrame, repetition_weight: float = REPETITION_WEIGHT) -> DataFrame:
+    """Add both repetition penalties and ``risk_final``."""
+    return with_repetition(risked).withColumn(
         "risk_final",
         F.col("risk") + repetition_weight * (F.col("word_rep_penalty") + F.col("sent_rep_penalty")),
     )
-    return group_softmax(penalised, ["prompt_id"], -F.col("risk_final"), risk_temperature, "p_risk")
-
-
-def rank_by_risk(scored: DataFrame) -> DataFrame:
-    """Rank from 1: high ``p_risk``, then high ``p_model``, then candidate order.
-
-    Only the keys are range-partitioned and kept; the texts join by key.
-    """
-    keys = scored.select("prompt_id", "cand_idx", "p_risk", "p_model")
-    order = [F.desc("p_risk"), F.desc("p_model"), F.asc("cand_idx")]
-    ranks = number_rows(keys, ["prompt_id"], order, "rank_by_risk")
-    return scored.join(ranks.select("prompt_id", "cand_idx", "rank_by_risk"), ["prompt_id", "cand_idx"])
 
 
 def score_candidates(
@@ -126,18 +116,44 @@ def score_candidates(
     temperature: float = 1.0,
     risk_temperature: float = 1.0,
     similarity: Similarity = chrf_matrix,
+    repetition_weight: float = REPETITION_WEIGHT,
 ) -> DataFrame:
-    """Posterior, expected risk, penalties and final risk of aligned candidates."""
-    posterior = candidate_softmax(candidates, temperature)
-    return final_risk(expected_risk(posterior, similarity), risk_temperature)
+    """Keys and numbers of aligned candidates: posterior, risk, penalties, final risk.
+
+    Two results have several readers and are kept: the candidates with their
+    posterior, and the risks, which hold no text any more.
+    """
+    posterior = durable(candidate_softmax(candidates, temperature))
+    risked = penalised_risk(expected_risk(posterior, similarity), repetition_weight)
+    numbers = durable(risked.select("prompt_id", "cand_idx", *[c for c in SCORES if c != "p_risk"]))
+    return group_softmax(numbers, ["prompt_id"], -F.col("risk_final"), risk_temperature, "p_risk")
 
 
-def best_candidates(scored: DataFrame) -> DataFrame:
-    """Best candidate of each prompt, by the ranking order, without a full sort.
+def _ranking() -> list:
+    """High ``p_risk``, then high ``p_model``, then candidate order.
 
-    The first row per prompt is found by a limit in each map task.
+    Rounded, so that equal risks summed in another order stay a tie.
     """
-    from pyspark.sql import Window
+    return [
+        F.desc(F.round("p_risk", TIE_DIGITS)), F.desc(F.round("p_model", TIE_DIGITS)), F.asc("cand_idx"),
+    ]
 
-    window = Window.partitionBy("prompt_id").orderBy(F.desc("p_risk"), F.desc("p_model"), F.asc("cand_idx"))
-    return scored.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
+
+def rank_by_risk(candidates: DataFrame, scored: DataFrame) -> DataFrame:
+    """Candidates with their numbers and ``rank_by_risk`` from 1.
+
+    Only keys and numbers are sorted; the texts join by key.
+    """
+    ranks = number_rows(scored, ["prompt_id"], _ranking(), "rank_by_risk")
+    return candidates.join(ranks, ["prompt_id", "cand_idx"])
+
+
+def best_candidates(candidates: DataFrame, scored: DataFrame) -> DataFrame:
+    """First-ranked candidate of each prompt.
+
+    ``row_number = 1`` becomes a limit in each map task, so no prompt is sorted
+    as a whole.
+    """
+    window = Window.partitionBy("prompt_id").orderBy(*_ranking())
+    best = scored.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
+    return candidates.join(best, ["prompt_id", "cand_idx"])

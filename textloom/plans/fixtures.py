@@ -9,6 +9,7 @@ from textloom.functions.chat import render_pair
 from textloom.functions.text import words
 from textloom.operators.candidates import align_candidates
 from textloom.operators.tokens import build_vocabulary, encode
+from textloom.sources.readers import spread
 
 MAX_LENGTH = 128
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that is heavy per row."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+
+
 def r6(x: Column | str) -> Column:
     """Six decimals, as the SQL twins round too; also turns -0.0 into 0.0."""
     column = F.col(x) if isinstance(x, str) else x
@@ -31,7 +37,7 @@ def joined(array: Column | str) -> Column:
 
 def prompt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn, the assistant turn after it, and the conversation's system text."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     answer = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion")
@@ -62,7 +68,7 @@ def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some lines are blank, and the runs of residue 0 exist twice, as exact copies
     and with widened spaces.
     """
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    turns = spread(table(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id", "turn")
     base = turns.select(
         F.concat(F.lit("run"), F.col("conv_id") % 4, F.lit("_"), F.col("turn")).alias("source"),
         F.floor(F.col("conv_id") / 4).alias("line_idx"),
@@ -104,7 +110,7 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference = document, hypothesis = the same with every third word dropped."""
     ref_tokens = words(F.col("text"))
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select("doc_id", "lang", F.col("text").alias("ref"), ref_tokens.alias("ref_tokens"))
         .withColumn("hyp_tokens", F.filter("ref_tokens", lambda _, i: i % 3 != 2))
         .withColumn("hyp", F.array_join("hyp_tokens", " "))

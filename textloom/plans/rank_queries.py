@@ -42,7 +42,7 @@ _FINAL = f"""
     pen AS (SELECT risked.*, greatest(w4, c8, run) AS word_rep_penalty, greatest(rep, loop) AS sent_rep_penalty
             FROM risked JOIN texts USING (prompt_id, completion) JOIN reps USING (prompt_id, text_id)),
     fin AS (SELECT *, risk + 0.1::DOUBLE * (word_rep_penalty + sent_rep_penalty) AS risk_final FROM pen),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY p_risk DESC, p_model DESC, cand_idx) AS rank_by_risk
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(p_risk, 12) DESC, round(p_model, 12) DESC, cand_idx) AS rank_by_risk
                FROM ({T.softmax_over('fin', '(-risk_final)', 'prompt_id', 'p_risk')}))"""
 
 
@@ -140,7 +140,8 @@ def mbr_final_risk(spark, sf_dir):
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
     SELECT prompt_id, rank_by_risk, cand_idx, source, {T.r6('p_risk')} AS p_risk, {T.r6('risk')} AS risk FROM ranked""")
 def mbr_rank(spark, sf_dir):
-    ranked = mbr.rank_by_risk(mbr.score_candidates(candidates(spark, sf_dir)))
+    aligned = candidates(spark, sf_dir)
+    ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned))
     return ranked.select(
         "prompt_id", "rank_by_risk", "cand_idx", "source", r6("p_risk").alias("p_risk"), r6("risk").alias("risk")
     )
@@ -150,7 +151,8 @@ def mbr_rank(spark, sf_dir):
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
     SELECT prompt_id, cand_idx, completion, {T.r6('risk_final')} AS risk_final FROM ranked WHERE rank_by_risk = 1""")
 def mbr_best(spark, sf_dir):
-    best = mbr.best_candidates(mbr.score_candidates(candidates(spark, sf_dir)))
+    aligned = candidates(spark, sf_dir)
+    best = mbr.best_candidates(aligned, mbr.score_candidates(aligned))
     return best.select("prompt_id", "cand_idx", "completion", r6("risk_final").alias("risk_final"))
 
 
@@ -163,7 +165,8 @@ def mbr_best(spark, sf_dir):
            {T.r6('sent_rep_penalty')} AS sent_rep_penalty, {T.r6('word_rep_penalty')} AS word_rep_penalty
     FROM ranked""")
 def mbr_csv_rows(spark, sf_dir):
-    ranked = mbr.rank_by_risk(mbr.score_candidates(candidates(spark, sf_dir)))
+    aligned = candidates(spark, sf_dir)
+    ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned))
     return ranked_rows(ranked).withColumns({
         "prompt": F.md5("prompt"), "completion": F.md5("completion"),
         "sent_rep_penalty": r6("sent_rep_penalty"), "word_rep_penalty": r6("word_rep_penalty"),

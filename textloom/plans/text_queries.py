@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import chat, repetition, text
 from textloom.operators.reports import unfinished
 from textloom.plans import twins as T
-from textloom.plans.fixtures import prompt_pairs, r6, rendered_pairs, table
+from textloom.plans.fixtures import documents, prompt_pairs, r6, rendered_pairs, table
 from textloom.plans.registry import query
 from textloom.sources.readers import dataset_name_fields, line_text, nonempty_pairs, run_path_fields
 
@@ -138,7 +138,7 @@ def fmt_instruction(spark, sf_dir):
     SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(10))) AS digest
     FROM (SELECT doc_id, {T.sentences('text')} AS s FROM documents)""")
 def split_sentences(spark, sf_dir):
-    split = table(spark, sf_dir, "documents").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
+    split = documents(spark, sf_dir).select("doc_id", text.split_sentences(F.col("text")).alias("s"))
     return split.select(
         "doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest")
     )
@@ -150,7 +150,7 @@ def _repetition_sql(column: str, expression: str) -> str:
 
 def _penalty(name: str, column: str, expression: str, build) -> None:
     def run(spark, sf_dir):
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.split_sentences(F.col("text")).alias("s"))
+        docs = documents(spark, sf_dir).select("doc_id", "text", text.split_sentences(F.col("text")).alias("s"))
         return docs.select("doc_id", r6(build(F.col("text"), F.col("s"))).alias(column))
 
     query(name, _repetition_sql(column, expression))(run)
@@ -171,7 +171,7 @@ _penalty("word_repetition", "penalty", "greatest(w4, c8, run)", lambda t, s: rep
            {T.r6('avg(greatest(rep, loop))')} AS sent_rep_penalty, count(*) AS n
     FROM reps JOIN documents USING (doc_id) GROUP BY lang""")
 def repetition_by_lang(spark, sf_dir):
-    scored = repetition.with_repetition(table(spark, sf_dir, "documents"), "text")
+    scored = repetition.with_repetition(documents(spark, sf_dir), "text")
     return scored.groupBy("lang").agg(
         r6(F.avg("word_rep_penalty")).alias("word_rep_penalty"),
         r6(F.avg("sent_rep_penalty")).alias("sent_rep_penalty"), F.count(F.lit(1)).alias("n"),

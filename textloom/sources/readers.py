@@ -60,6 +60,18 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small scanned table over all cores before heavy work per row.
+
+    A file is read by as many tasks as it has row groups.  A scan that already
+    has at least four splits per core, as any large table has, is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= 4 * cores:
+        return table
+    return table.repartition(cores, *keys)
+
+
 def number_lines(raw: DataFrame, order: str = "_at") -> DataFrame:
     """0-based line number per file from the block and the order inside it.
 
