@@ -58,10 +58,15 @@ def _tiles(texts: DataFrame, block_texts: int, block_chars: int) -> DataFrame:
         F.transform(others, lambda b: unit(own, b, True, False)),
         F.transform(others, lambda b: unit(b, own, False, True)),
     )
+    # A stated number of partitions: the work of a unit is quadratic in its
+    # bytes, so partitions must not be merged for being small.
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         placed.select("prompt_id", "completion", "mass", F.explode(units).alias("u"))
-        .groupBy("prompt_id", "u.hyp_block", "u.ref_block")
-        .agg(F.collect_list(F.struct("completion", "mass", "u.is_hyp", "u.is_ref")).alias("m"))
+        .select("prompt_id", "completion", "mass", "u.*")
+        .repartition(partitions, "prompt_id", "hyp_block", "ref_block")
+        .groupBy("prompt_id", "hyp_block", "ref_block")
+        .agg(F.collect_list(F.struct("completion", "mass", "is_hyp", "is_ref")).alias("m"))
         .select("prompt_id", "m.completion", "m.mass", "m.is_hyp", "m.is_ref")
     )
 
