@@ -154,7 +154,10 @@ def dataset_mix(
     eval_size = F.when(is_train, _val_rows(size, F.col("val_ratio"))).otherwise(size)
     in_eval = rank <= eval_size
     share = F.greatest(F.lit(1), F.rint(eval_size * F.col("sample_frac")))
-    wanted = F.coalesce(F.col("sample_n"), share.cast("bigint"), eval_size)
+    wanted = (
+        F.when(F.col("sample_n").isNotNull(), F.col("sample_n"))
+        .when(F.col("sample_frac").isNotNull(), share).otherwise(eval_size)
+    )
     split = (
         ranked.where(~in_eval | (rank <= wanted))
         .withColumn("part", F.when(in_eval, "eval").otherwise("train"))

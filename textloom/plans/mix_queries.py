@@ -188,7 +188,8 @@ def _mix_sql(leak_safe: bool) -> str:
                         THEN md5('{SEED}:' || conv_id || ':' || turn || ':' || copy0) END, conv_id, turn, copy0) AS rn FROM rows),
     sized AS (SELECT *, CASE WHEN role = 'eval' THEN n WHEN val_ratio > 1 THEN floor(val_ratio) ELSE ceil(n * val_ratio) END AS n_eval FROM ranked),
     kept AS (SELECT *, CASE WHEN rn <= n_eval THEN 'eval' ELSE 'train' END AS part FROM sized
-             WHERE rn > n_eval OR rn <= coalesce(sample_n, greatest(1, round_even(n_eval * sample_frac, 0)), n_eval)),
+             WHERE rn > n_eval OR rn <= CASE WHEN sample_n IS NOT NULL THEN sample_n
+                  WHEN sample_frac IS NOT NULL THEN greatest(1, round_even(n_eval * sample_frac, 0)) ELSE n_eval END),
     mixed AS (SELECT name, conv_id, turn, part, greatest(copy0, copy1)::INT AS copy, metrics, chrf_eval_n, role,
                      CASE WHEN part = 'train' THEN NULL WHEN role = 'train' THEN name || '_val' ELSE name END AS eval_group
               FROM (SELECT *, unnest(range(1, {late} + 1)) AS copy1 FROM kept))"""
