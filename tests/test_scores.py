@@ -173,3 +173,19 @@ def test_manifest_join_keeps_unlisted_files(spark):
     manifest = spark.createDataFrame([("f1", "egy"), ("f1", "egy")], "source string, dialect string")
     rows = sorted((r.source, r.dialect) for r in D.attach_manifest(lines, manifest).collect())
     assert rows == [("f1", "egy"), ("f2", None)]
+
+
+def test_worker_code_needs_no_package(tmp_path):
+    """What workers run must load where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(chrf_matrix))
+    code = (
+        "import pyspark.cloudpickle as p; f = p.loads(open('f.pkl', 'rb').read());"
+        "assert abs(f(['abc'], ['abc'])[0][0] - 1) < 1e-9;"
+        "import sys; assert not any(m.startswith('textloom') for m in sys.modules)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -108,12 +108,10 @@ def expected_risk(
     return candidates.join(risks, ["prompt_id", "completion"])
 
 
-def penalised_risk(risked: DataFrame, repetition_weight: float = REPETITION_WEIGHT) -> DataFrame:
-    """Add both repetition penalties and ``risk_final``."""
-    return with_repetition(risked).withColumn(
-        "risk_final",
-        F.col("risk") + repetition_weight * (F.col("word_rep_penalty") + F.col("sent_rep_penalty")),
-    )
+def final_risk(risked: DataFrame, repetition_weight: float = REPETITION_WEIGHT) -> DataFrame:
+    """Add ``risk_final``: the expected risk plus the weighted repetition penalties."""
+    penalty = F.col("word_rep_penalty") + F.col("sent_rep_penalty")
+    return risked.withColumn("risk_final", F.col("risk") + repetition_weight * penalty)
 
 
 def score_candidates(
@@ -126,10 +124,10 @@ def score_candidates(
     """Keys and numbers of aligned candidates: posterior, risk, penalties, final risk.
 
     Two results have several readers and are kept: the candidates with their
-    posterior, and the risks, which hold no text any more.
+    posterior and penalties, and the risks, which hold no text any more.
     """
-    posterior = durable(candidate_softmax(candidates, temperature))
-    risked = penalised_risk(expected_risk(posterior, similarity), repetition_weight)
+    posterior = durable(candidate_softmax(with_repetition(candidates), temperature))
+    risked = final_risk(expected_risk(posterior, similarity), repetition_weight)
     numbers = durable(risked.select("prompt_id", "cand_idx", *[c for c in SCORES if c != "p_risk"]))
     return group_softmax(numbers, ["prompt_id"], -F.col("risk_final"), risk_temperature, "p_risk")
 
