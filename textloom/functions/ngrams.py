@@ -189,32 +189,42 @@ def bleu_score(counts: Sequence[Column]) -> Column:
     return F.when(any_match, 100.0 * brevity * F.exp(log_sum / len(orders))).otherwise(0.0)
 
 
-def chrf_matrix(hyps: Sequence[str], refs: Sequence[str], beta: float = BETA) -> np.ndarray:
+def _match_matrices(symbols: Symbols, n_hyps: int, max_order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: hypothesis totals, reference totals and clipped matches of all pairs.
+
+    The first ``n_hyps`` sequences are hypotheses, the others references.
+    """
+    n_refs = symbols.n_owners - n_hyps
+    for owner, code, bound in symbols.grams(max_order):
+        key, counts = np.unique(owner * bound + code, return_counts=True)
+        owner = key // bound
+        seen, grams = np.unique(key % bound, return_inverse=True)
+        totals = np.bincount(owner, weights=counts, minlength=symbols.n_owners)
+        starts = np.searchsorted(owner, np.arange(n_hyps + 1))
+        refs = slice(starts[n_hyps], None)
+        matches = np.zeros((n_hyps, n_refs))
+        for i in range(n_hyps):
+            mine = slice(starts[i], starts[i + 1])
+            dense = np.zeros(len(seen), dtype=np.int64)
+            dense[grams[mine]] = counts[mine]
+            common = np.minimum(dense[grams[refs]], counts[refs])
+            matches[i] = np.bincount(owner[refs] - n_hyps, weights=common, minlength=n_refs)
+        yield totals[:n_hyps, None], totals[None, n_hyps:], matches
+
+
+def chrf_matrix(
+    hyps: Sequence[str], refs: Sequence[str],
+    beta: float = BETA, char_order: int = CHAR_ORDER, word_order: int = WORD_ORDER,
+) -> np.ndarray:
     """chrF in 0..1 of every hypothesis against every reference."""
-    n = len(hyps)
-    texts = list(hyps) + list(refs)
-    symbol_sets = [
-        (Symbols.of_chars(texts), CHAR_ORDER),
-        (Symbols.of_tokens([chrf_words(t) for t in texts]), WORD_ORDER),
-    ]
-    usable = np.zeros((n, len(refs)))
+    texts = [*hyps, *refs]
+    usable = np.zeros((len(hyps), len(refs)))
     precision, recall = np.zeros_like(usable), np.zeros_like(usable)
-    for symbols, max_order in symbol_sets:
-        for owner, code, bound in symbols.grams(max_order):
-            key, counts = np.unique(owner * bound + code, return_counts=True)
-            owner, grams = key // bound, key % bound
-            seen, grams = np.unique(grams, return_inverse=True)
-            totals = np.bincount(owner, weights=counts, minlength=len(texts))
-            split = int(np.searchsorted(owner, n))
-            starts = np.searchsorted(owner, np.arange(n + 1))
-            matches = np.zeros_like(usable)
-            for i in range(n):
-                mine = slice(starts[i], starts[i + 1])
-                dense = np.zeros(len(seen), dtype=np.int64)
-                dense[grams[mine]] = counts[mine]
-                common = np.minimum(dense[grams[split:]], counts[split:])
-                matches[i] = np.bincount(owner[split:] - n, weights=common, minlength=len(refs))
-            h, r = totals[:n, None], totals[None, n:]
+    for symbols, order in (
+        (Symbols.of_chars(texts), char_order),
+        (Symbols.of_tokens([chrf_words(t) for t in texts]), word_order),
+    ):
+        for h, r, matches in _match_matrices(symbols, len(hyps), order):
             ok = (h > 0) & (r > 0)
             usable += ok
             precision += np.where(ok, matches / np.maximum(h, 1), 0.0)
@@ -224,6 +234,24 @@ def chrf_matrix(hyps: Sequence[str], refs: Sequence[str], beta: float = BETA) ->
     return np.where(p + r > 0, (1 + weight) * p * r / np.where(p + r > 0, weight * p + r, 1), 0.0)
 
 
+def bleu_matrix(hyps: Sequence[str], refs: Sequence[str]) -> np.ndarray:
+    """Smoothed sentence BLEU in 0..1 over the orders a hypothesis has."""
+    symbols = Symbols.of_tokens([t.split() for t in (*hyps, *refs)])
+    shape = (len(hyps), len(refs))
+    log_sum, orders, halvings, hits = np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    brevity = np.ones(shape)
+    for n, (h, r, matches) in enumerate(_match_matrices(symbols, len(hyps), BLEU_ORDER)):
+        if n == 0:
+            brevity = np.where(h < r, np.exp(1 - r / np.maximum(h, 1)), 1.0)
+        missed = (matches == 0) & (h > 0)
+        halvings += missed
+        share = np.where(missed, 0.5 ** halvings, np.maximum(matches, 1)) / np.maximum(h, 1)
+        log_sum += np.where(h > 0, np.log(share), 0.0)
+        orders += h > 0
+        hits += matches
+    return np.where(hits > 0, brevity * np.exp(log_sum / np.maximum(orders, 1)), 0.0)
+
+
 def exact_match_matrix(hyps: Sequence[str], refs: Sequence[str]) -> np.ndarray:
     """1 where the texts are equal, else 0."""
     return (np.array(hyps, dtype=object)[:, None] == np.array(refs, dtype=object)[None, :]).astype(float)
