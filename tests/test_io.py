@@ -42,6 +42,16 @@ def test_csv_readers(spark, tmp_path):
     path.write_text('q\ta\n"two\nlines"\t"say ""hi"""\nNA\tx\nnull\tNone\n  \ty\n5\t 6 \n', encoding="utf-8")
     pairs = I.read_pairs(spark, str(path), "q", "a", delimiter="\t")
     assert sorted((r.prompt, r.completion) for r in pairs.collect()) == [("5", "6"), ("two\nlines", 'say "hi"')]
+    assert sorted(r.row_id for r in pairs.collect()) == [0, 4]
+    big = tmp_path / "big.csv"
+    big.write_text("prompt,completion\n" + "".join(f"q{i},a{i}\n" for i in range(3000)), encoding="utf-8")
+    previous = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        split = I.read_pairs(spark, str(big), multi_line=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", previous)
+    assert sorted((r.row_id, r.prompt) for r in split) == [(i, f"q{i}") for i in range(3000)]
     with pytest.raises(ValueError, match="missing columns"):
         I.read_pairs(spark, str(path), delimiter="\t")
     latin = tmp_path / "latin.csv"

@@ -90,15 +90,15 @@ def pair_overlap(symbols: Symbols, max_order: int) -> np.ndarray:
     n_pairs = symbols.n_owners // 2
     out = np.zeros((n_pairs, max_order, 3), dtype=np.int64)
     for order, (owner, code, bound) in enumerate(symbols.grams(max_order)):
-        key = (owner // 2) * bound + code
-        is_ref = (owner & 1).astype(bool)
-        sides = [np.unique(key[mask], return_counts=True) for mask in (~is_ref, is_ref)]
-        for side, (_, counts) in enumerate(sides):
-            out[:, order, side] = np.bincount(owner[is_ref == side] // 2, minlength=n_pairs)
-        (h_keys, h_counts), (r_keys, r_counts) = sides
-        shared, at_h, at_r = np.intersect1d(h_keys, r_keys, assume_unique=True, return_indices=True)
-        matched = np.minimum(h_counts[at_h], r_counts[at_r])
-        out[:, order, 2] = np.bincount(shared // bound, weights=matched, minlength=n_pairs)
+        pair, is_ref = owner >> 1, owner & 1
+        for side in (0, 1):
+            out[:, order, side] = np.bincount(pair[is_ref == side], minlength=n_pairs)
+        # With the side as the last bit, a gram both sides have gives two
+        # neighbouring keys.
+        keys, counts = np.unique(2 * (pair * bound + code) + is_ref, return_counts=True)
+        shared = np.flatnonzero(((keys[:-1] & 1) == 0) & (keys[:-1] + 1 == keys[1:]))
+        matched = np.minimum(counts[shared], counts[shared + 1])
+        out[:, order, 2] = np.bincount((keys[shared] >> 1) // bound, weights=matched, minlength=n_pairs)
     return out
 
 

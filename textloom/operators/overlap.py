@@ -32,10 +32,10 @@ def gram_overlap(df: DataFrame, keys: Sequence[str], hyp_tokens: str, ref_tokens
     keeps its row of zeros.
     """
     def grams_of(tokens: Column, n: int, is_ref: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        starts = F.sequence(F.lit(0), F.size(tokens) - n)
 
         def gram(i: Column) -> Column:
-            text = F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+            text = F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]) if n > 1 else F.get(tokens, i)
             return F.struct(F.lit(n).alias("order"), text.alias("gram"), F.lit(is_ref).alias("is_ref"))
 
         none = F.array().cast("array<struct<order:int,gram:string,is_ref:int>>")

@@ -31,9 +31,9 @@ def prepare_training_set(
     pairs = readers.read_pairs(spark, csv_path, prompt_col, completion_col, delimiter, encoding)
     readers.require_rows(pairs, "no rows left after cleaning prompt and completion")
     full, head = render_pair(F.col("prompt"), F.col("completion"), F.lit(system_prompt), template)
-    texts = pairs.select(full.alias("full"), head.alias("head"))
+    texts = pairs.select("source", "row_id", full.alias("full"), head.alias("head"))
     encoded = tokenize(tokenize(texts, "full", make_encoder, "full_ids"), "head", make_encoder, "head_ids")
-    rows = encoded.select(*training_row(F.col("full_ids"), F.size("head_ids"), max_length))
+    rows = encoded.select("source", "row_id", *training_row(F.col("full_ids"), F.size("head_ids"), max_length))
     writers.write_tokenized(rows, out, {
         "csv_path": csv_path, "max_length": max_length, "system_prompt": system_prompt,
         "delimiter": delimiter, "encoding": encoding,

@@ -27,22 +27,32 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "table")
     return df
 
 
-def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """CSV with a header and quoted multi-line cells; every column is text."""
+def read_csv(
+    spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header and quoted cells; every column is text.
+
+    Cells with line breaks force one task per file; without such cells set
+    ``multi_line=False`` and large files are split.
+    """
     return (
         spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-        .option("multiLine", True).option("quote", '"').option("escape", '"').option("inferSchema", False)
+        .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("inferSchema", False)
         .csv(path)
     )
 
 
 def read_pairs(
     spark: SparkSession, path: str | list[str], prompt_col: str = "prompt", completion_col: str = "completion",
-    delimiter: str = ",", encoding: str = "utf-8", na_values: list[str] | None = None,
+    delimiter: str = ",", encoding: str = "utf-8", na_values: list[str] | None = None, multi_line: bool = True,
 ) -> DataFrame:
-    """Prompt/completion rows of CSV files, cleaned, without empty sides."""
-    raw = require_columns(read_csv(spark, path, delimiter, encoding), [prompt_col, completion_col], "CSV")
-    pairs = raw.select(
+    """``source, row_id, prompt, completion`` of CSV files, cleaned, without empty sides.
+
+    ``row_id`` is the 0-based row in its file, so dropped rows leave gaps.
+    """
+    raw = require_columns(read_csv(spark, path, delimiter, encoding, multi_line), [prompt_col, completion_col], "CSV")
+    pairs = number_csv_rows(raw).select(
+        "source", F.col("line_idx").alias("row_id"),
         normalize_text(blank_na(F.col(prompt_col), na_values)).alias("prompt"),
         normalize_text(blank_na(F.col(completion_col), na_values)).alias("completion"),
     )
@@ -144,12 +154,9 @@ def read_texts(spark: SparkSession, path: str, csv_field: str) -> DataFrame:
 
 
 def number_csv_rows(table: DataFrame) -> DataFrame:
-    """0-based row number of a CSV read with multi-line cells.
-
-    Such a file is read by one task, so the partition-wise id keeps file order.
-    """
+    """0-based row number of a CSV in its file; a multi-line file is one block."""
     raw = table.select(
-        "*", F.col("_metadata.file_path").alias("source"), F.lit(0).cast("bigint").alias("_block"),
+        "*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
     return number_lines(raw)
