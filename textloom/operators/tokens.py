@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.arrays import mask_labels, take
+from textloom.functions.arrays import mask_labels, supervised_share, take
 from textloom.operators.slices import number_rows
 
 # A vocabulary of at most this many entries is sent to every executor.
@@ -88,7 +88,5 @@ def training_row(full_ids: Column, prompt_len: Column, max_length: int) -> list[
 
 def label_coverage(df: DataFrame, labels: str, order: Sequence[Column], k: int = 50) -> DataFrame:
     """Mean supervised share of the first k rows."""
-    from textloom.functions.arrays import supervised_share
-
     shares = df.select(*order, supervised_share(F.col(labels)).alias("share"))
     return shares.orderBy(*order).limit(k).agg(F.avg("share").alias("coverage"), F.count(F.lit(1)).alias("n"))
