@@ -179,3 +179,19 @@ def test_arriving_files_are_scored_once(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "scored")).collect()
     assert sorted(r.completion for r in rows) == ["aaaaaaaaaaaa", "fine text here", "second file"]
     assert max(r.word_rep_penalty for r in rows) > 0.6
+
+
+def test_late_records_are_dropped(spark, tmp_path):
+    source, out = tmp_path / "log", tmp_path / "out"
+    source.mkdir()
+
+    def arrive(name, step, ts):
+        (source / name).write_text(json.dumps({"run": "a", "step": step, "ts": ts, "eval_loss": 1.0}) + "\n", encoding="utf-8")
+        records = live.distinct_records(live.read_log_stream(spark, str(source)), "1 hour")
+        live.drain(records, live.write_batches(str(out / "rows")), str(out / "state"), "append")
+
+    arrive("a.jsonl", 1, "2024-01-01T10:00:00Z")
+    arrive("b.jsonl", 2, "2024-01-01T08:00:00Z")
+    arrive("c.jsonl", 3, "2024-01-01T09:30:00Z")
+    arrive("d.jsonl", 1, "2024-01-01T10:10:00Z")
+    assert sorted(r.step for r in spark.read.parquet(str(out / "rows")).collect()) == [1, 3]

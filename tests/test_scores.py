@@ -189,3 +189,19 @@ def test_worker_code_needs_no_package(tmp_path):
         "import sys; assert not any(m.startswith('textloom') for m in sys.modules)"
     )
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_hot_prompt_with_copies(spark):
+    """One prompt holds two thirds of the rows, a third of them one text."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["ab", "bc", "cab", "dd.", "e"]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    rows = [(0, j, texts[0] if j < 200 else rng.choice(texts), -rng.random()) for j in range(600)]
+    rows += [(1 + j // 3, j, rng.choice(texts), -rng.random()) for j in range(300)]
+    df = spark.createDataFrame(rows, "prompt_id int, cand_idx int, completion string, score_used double")
+    risks = mbr.expected_risk(C.candidate_softmax(df), block_texts=16).collect()
+    assert len(risks) == len(rows)
+    hot = sorted((r for r in risks if r.prompt_id == 0), key=lambda r: r.cand_idx)
+    mine = [r[2] for r in rows[:600]]
+    weights = np.exp([r[3] for r in rows[:600]])
+    expected = (1 - chrf_matrix(mine, mine)) @ (weights / weights.sum())
+    assert np.allclose([r.risk for r in hot], expected)
