@@ -54,3 +54,8 @@ def small_enough(df: DataFrame, bytes_per_row: int) -> bool:
 def lookup(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted size allows it."""
     return F.broadcast(df) if small_enough(df, bytes_per_row) else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Few rows in an Arrow batch, since a text or its hashes may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import twins
+from textloom.llm.bpe import round_trip_digest
 from textloom.llm.common import table
 from textloom.llm.decontaminate import contamination_digest
+from textloom.llm.langid import identify_documents
 from textloom.llm.pii import pii_digest
 from textloom.llm.secrets import secret_digest
+from textloom.llm.simhash import near_components
+from textloom.llm.toxicity import score_documents
 from textloom.llm.urls import ALLOW, BLOCK, UrlRule, judge_urls
 
 URL_RULES = (
@@ -20,6 +26,7 @@ URL_RULES = (
     UrlRule("com", "/fr/", ALLOW),
     UrlRule("com", "/de/", BLOCK),
 )
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +37,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digest(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -38,6 +53,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
