@@ -15,6 +15,7 @@ from textloom.llm.common import table
 from textloom.llm.decontaminate import contamination_digest
 from textloom.llm.langid import identify_documents
 from textloom.llm.pii import pii_digest
+from textloom.llm.repeats import remove_repeats
 from textloom.llm.secrets import secret_digest
 from textloom.llm.simhash import near_components
 from textloom.llm.toxicity import score_documents
@@ -50,6 +51,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
