@@ -237,11 +237,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, *, doc_id: str
             texts = batch.column(1).to_pylist()
             for start, stop in portions(texts):
                 coded = [np.frombuffer(ids, dtype="<u4") for ids in codec.encode(texts[start:stop])]
-                offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in coded])]).astype(np.int32)
-                values = np.concatenate(coded).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[start:stop], pa.ListArray.from_arrays(offsets, values)], names=["_id", "ids"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], _lists(coded)], names=["_id", "ids"])
 
     return _mapped(docs, doc_id, whole(text), run, "ids array<int>")
 
@@ -259,26 +255,39 @@ def decode_ids(encoded: DataFrame, vocabulary: str, pattern: str, *, doc_id: str
     return _mapped(encoded, doc_id, F.col(ids), run, "content binary")
 
 
-def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: ``encode_texts`` and ``decode_ids`` in one pass."""
+def round_trip_digest(
+    docs: DataFrame, vocabulary: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: ``encode_texts`` and ``decode_ids`` in one pass.
+
+    ``with_ids`` adds the ids themselves.
+    """
     shared = _shared(docs, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            counts, ids_sha, content_sha = [], [], []
             for start, stop in portions(texts):
-                for ids in codec.encode(texts[start:stop]):
-                    counts.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    content_sha.append(hashlib.sha256(codec.decode(np.frombuffer(ids, dtype="<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(content_sha, pa.string())],
-                names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _mapped(docs, doc_id, whole(text), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+                coded = codec.encode(texts[start:stop])
+                numbers = [np.frombuffer(ids, dtype="<u4") for ids in coded]
+                columns = {
+                    "_id": batch.column(0)[start:stop],
+                    "n_tokens": pa.array([len(n) for n in numbers], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(ids).hexdigest() for ids in coded], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(codec.decode(n)).hexdigest() for n in numbers], pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = _lists(numbers)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    ids = ", ids array<int>" if with_ids else ""
+    return _mapped(docs, doc_id, whole(text), run, f"n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")
+
+
+def _lists(numbers: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(n) for n in numbers])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(numbers).astype(np.int32))
 
 
 def _mapped(df: DataFrame, doc_id: str, value, run, columns: str) -> DataFrame:

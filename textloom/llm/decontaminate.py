@@ -100,3 +100,10 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> Da
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, all columns kept."""
+    hit = contamination(docs, benchmark, **options).filter(F.size("hit_words") > 0).select(F.col("row_key").alias("_hit_key"))
+    key = row_key(options.get("doc_id", "doc_id"), options.get("text", "text"))
+    return docs.join(hit, key == F.col("_hit_key"), "left_anti")

@@ -36,8 +36,8 @@ _PATTERNS = {
 _KINDS = tuple(_PATTERNS)
 
 
-def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row_key, secrets): per row its spans as structs (start, rank, kind, stop, digest).
+def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row_key, secrets, and the columns of ``also``): per row its spans as structs (start, rank, kind, stop, digest).
 
     Ordered by start, then by kind as listed.  ``digest`` is the hash of the value;
     the value itself is not carried.  Null text counts as empty.
@@ -53,12 +53,12 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         )
         return F.filter(spans, lambda s: F.length(s["value"]) >= 6) if kind == "assign" else spans
 
-    found = docs.select(doc_id, row_key(doc_id, text).alias("row_key"), *(of_kind(k).alias(f"_{k}") for k in _KINDS))
+    found = docs.select(doc_id, row_key(doc_id, text).alias("row_key"), *also, *(of_kind(k).alias(f"_{k}") for k in _KINDS))
     hashed = F.transform(
         F.array_sort(F.concat(*(f"_{k}" for k in _KINDS))),
         lambda s: F.struct(s["start"], s["rank"], s["kind"], s["stop"], F.sha2(s["value"], 256).alias("digest")),
     )
-    return found.select(doc_id, "row_key", hashed.alias("secrets"))
+    return found.select(doc_id, "row_key", hashed.alias("secrets"), *also)
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -95,12 +95,7 @@ def scan_secrets(
         F.col(doc_id).alias("_id"), F.col(text).alias("_text"),
         F.col(owner).alias("_owner"), F.col(repository).alias("_repository"),
     )
-    wide = candidates(named.withColumns({"_id": F.struct("_id", "_owner", "_repository")}), doc_id="_id", text="_text")
-    found = kept(
-        wide.select(F.col("_id._id").alias("_id"), F.col("_id._owner").alias("_owner"),
-                    F.col("_id._repository").alias("_repository"), "row_key", "secrets"),
-        "secrets",
-    )
+    found = kept(candidates(named, doc_id="_id", text="_text", also=("_owner", "_repository")), "secrets")
     owned = ownership(found, "_owner", "_repository").filter(F.col("owners") <= max_owners)
     holders = (
         found.filter(F.size("secrets") > 0)
@@ -146,3 +141,18 @@ def redacted(text: Column, live: Column) -> Column:
 
     ended = F.aggregate(live, state, step)
     return F.concat(ended["out"], F.substring(text, ended["at"] + 1, F.length(text)))
+
+
+def without_secrets(docs: DataFrame, *, n_chars: str | None = None, **columns: str) -> DataFrame:
+    """``docs`` with each live span replaced by REDACTED, all columns kept.
+
+    ``n_chars`` names a column that is to hold the text's new length.
+    """
+    doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
+    live = scan_secrets(docs, **columns).filter(F.size("live") > 0).groupBy(F.col("row_key").alias("_live_key")).agg(
+        F.first("live").alias("_live")
+    )
+    joined = docs.join(live, row_key(doc_id, text) == F.col("_live_key"), "left")
+    clean = F.when(F.col("_live").isNotNull(), redacted(whole(text), F.col("_live"))).otherwise(F.col(text))
+    changed = {text: clean} | ({n_chars: F.when(F.col("_live").isNotNull(), F.length(clean).cast("long")).otherwise(F.col(n_chars))} if n_chars else {})
+    return joined.withColumns(changed).select(*docs.columns)

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, kept, small_batches, whole
+from textloom.llm.common import ascii_lower, kept, row_key, small_batches, whole
 from textloom.llm.components import components
 
 SHINGLE = 3
@@ -77,39 +77,59 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
         bits = majority_bits(hashes, np.diff(offsets))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(bits.view(np.int64), pa.int64())], names=["_id", "fingerprint"]
+            [batch.column(0), pa.array(bits.view(np.int64), pa.int64())], names=["own", "fingerprint"]
         )
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(_id, fingerprint as a signed long) per row; zero for a null, empty or wordless text."""
+    """(_id, row_key, fingerprint as a signed long) per row; zero for a null, empty or wordless text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("_id"), shingle_hashes(text, shingle).alias("hashes"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprint_batches, f"_id {kind}, fingerprint long")
+    own = F.struct(F.col(doc_id).alias("_id"), row_key(doc_id, text).alias("row_key")).alias("own")
+    rows = docs.select(own, shingle_hashes(text, shingle).alias("hashes"))
+    kind = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(_fingerprint_batches, f"own {kind}, fingerprint long").select("own._id", "own.row_key", "fingerprint")
 
 
 def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, fingerprint as a long, component_id).
+    """One row per row of ``docs``: (doc_id, row_key, fingerprint as a long, component_id, keeper).
 
     ``component_id`` is the smallest id that is reached over links of at most
-    ``max_bits`` (up to 3) differing bits, the row's own included.  Texts without
-    words have fingerprint zero, which links like any other.  Repeated rows and ids
-    each keep their row; null ids are passed over unless a component has no other.
-    Only the two named columns are read; an empty table gives an empty table.
+    ``max_bits`` (up to 3) differing bits, the row's own included; ``keeper`` is the
+    row_key of the row that has it.  Texts without words have fingerprint zero, which
+    links like any other.  Repeated rows and ids each keep their row; null ids come
+    last, so ``component_id`` is only null where a component has no other.  Only the
+    two named columns are read; an empty table gives an empty table.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves with one left-out bit find up to 3 differing bits")
     rows = kept(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
-    nodes = rows.groupBy("fingerprint").agg(F.min("_id").alias("_first"))
+    nodes = rows.groupBy("fingerprint").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "row_key")).alias("first")
+    )
     found = components(links(nodes.select("fingerprint"), max_bits))
     placed = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
-        "fingerprint", "_first", F.coalesce("root", "fingerprint").alias("root")
+        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
+    )
+    first = placed.groupBy("root").agg(F.min("first").alias("first"))
+    named = placed.select("fingerprint", "root").join(first, "root").select("fingerprint", "first")
+    return rows.join(named, "fingerprint").select(
+        F.col("_id").alias(doc_id), rows["row_key"], "fingerprint",
+        F.col("first._id").alias("component_id"), F.col("first.row_key").alias("keeper"),
     )
-    first = placed.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = placed.select("fingerprint", "root").join(first, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(F.col("_id").alias(doc_id), "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, all columns kept.
+
+    Of rows equal in id and text one stays, the least by the other columns.
+    """
+    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
+    kept_keys = near_components(docs, **options).filter("row_key = keeper").select(F.col("row_key").alias("_kept_key")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(doc_id, text).alias("_key"))
+    chosen = keyed.join(kept_keys, F.col("_key") == F.col("_kept_key"), "left_semi")
+    least = Window.partitionBy("_key").orderBy("_row")
+    return chosen.withColumn("_rank", F.row_number().over(least)).filter("_rank = 1").select("_row.*")
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -124,7 +144,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         half.bitwiseAND(F.lit(((1 << HALF) - 1) & ~(1 << bit))).bitwiseOR(F.lit((number * HALF + bit) << HALF))
         for number, half in enumerate(halves) for bit in range(HALF)
     ]
-    indexed = nodes.select("fingerprint", F.explode(F.array(*variants)).alias("variant"))
+    # Each row becomes 64, so a few rows must not share a task.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    indexed = nodes.repartition(parts, "fingerprint").select("fingerprint", F.explode(F.array(*variants)).alias("variant"))
     shared = indexed.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")

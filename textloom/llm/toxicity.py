@@ -188,28 +188,34 @@ def _swaps(sample: pd.DataFrame) -> Iterator[tuple[list[str], list[int]]]:
                     yield [other, word], [int(count), -int(count)]
 
 
+def toxic_score(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score of a text column of ``docs``, 0 to 1; null counts as empty and gets the bias' score."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(*shared.value)
+        for texts in batches:
+            logits = np.array([own.logit(t) for t in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+
+    small_batches(docs.sparkSession)
+    return score(whole(text))
+
+
 def score_texts(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) per row of ``docs``, whole texts; null counts as empty and gets the bias' score.
+    """(doc_id, score, predicted) per row of ``docs``, whole texts.
 
     Only the two named columns are read, no label among them; repeated rows each
     keep their row, and an empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    scored = docs.select(F.col(doc_id).alias(doc_id), toxic_score(docs, model, text).alias("score"))
+    return scored.select(doc_id, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for batch in batches:
-            logits = np.array([own.logit(t) for t in batch.column(1).to_pylist()], dtype=float)
-            score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                names=["_id", "score", "predicted"],
-            )
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("_id"), whole(text).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", doc_id)
+def without_toxic(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, all columns kept."""
+    return docs.filter(toxic_score(docs, model, text) < 0.5)
 
 
 def fold(doc_id: str) -> Column:
