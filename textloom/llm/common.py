@@ -59,3 +59,8 @@ def lookup(df: DataFrame, bytes_per_row: int) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Few rows in an Arrow batch, since a text or its hashes may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def whole_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(whole_row, whole_key): all columns as one, so that no name of theirs can clash, and the row key."""
+    return docs.select(F.struct(*docs.columns).alias("whole_row"), row_key(doc_id, text).alias("whole_key"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, lookup, row_key, whole
+from textloom.llm.common import ascii_lower, lookup, row_key, whole, whole_rows
 
 WINDOW = 10
 # Between words: ASCII that is neither a digit nor a lower-case letter, after lower-casing.
@@ -104,6 +104,6 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns kept."""
-    hit = contamination(docs, benchmark, **options).filter(F.size("hit_words") > 0).select(F.col("row_key").alias("_hit_key"))
-    key = row_key(options.get("doc_id", "doc_id"), options.get("text", "text"))
-    return docs.join(hit, key == F.col("_hit_key"), "left_anti")
+    hit = contamination(docs, benchmark, **options).filter(F.size("hit_words") > 0).select(F.col("row_key").alias("whole_key"))
+    rows = whole_rows(docs, options.get("doc_id", "doc_id"), options.get("text", "text"))
+    return rows.join(hit, "whole_key", "left_anti").select("whole_row.*")

@@ -49,7 +49,7 @@ def mod97(found: Column) -> Column:
     bare = F.regexp_replace(found, " ", "")
     turned = F.concat(F.substring(bare, 5, 34), F.substring(bare, 1, 4))
     rest = F.aggregate(
-        F.split(turned, "(?!^)"), F.lit(0),
+        F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.substring(turned, i, F.lit(1))), F.lit(0),
         lambda acc, c: (acc * F.when(c.rlike("[A-Z]"), 100).otherwise(10) + F.conv(c, 36, 10).cast("int")) % 97,
     )
     return F.length(bare).between(15, 34) & (rest == 1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import kept, row_key, whole
+from textloom.llm.common import kept, row_key, whole, whole_rows
 from textloom.llm.spans import any_case, count_of, located, written
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -149,10 +149,15 @@ def without_secrets(docs: DataFrame, *, n_chars: str | None = None, **columns: s
     ``n_chars`` names a column that is to hold the text's new length.
     """
     doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
-    live = scan_secrets(docs, **columns).filter(F.size("live") > 0).groupBy(F.col("row_key").alias("_live_key")).agg(
-        F.first("live").alias("_live")
+    live = scan_secrets(docs, **columns).filter(F.size("live") > 0).groupBy(F.col("row_key").alias("whole_key")).agg(
+        F.first("live").alias("live")
     )
-    joined = docs.join(live, row_key(doc_id, text) == F.col("_live_key"), "left")
-    clean = F.when(F.col("_live").isNotNull(), redacted(whole(text), F.col("_live"))).otherwise(F.col(text))
-    changed = {text: clean} | ({n_chars: F.when(F.col("_live").isNotNull(), F.length(clean).cast("long")).otherwise(F.col(n_chars))} if n_chars else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    joined = whole_rows(docs, doc_id, text).join(live, "whole_key", "left")
+
+    def column(name: str) -> Column:
+        old = F.col("whole_row")[name]
+        clean = redacted(F.coalesce(F.col("whole_row")[text], F.lit("")), F.col("live"))
+        new = {text: clean, n_chars: F.length(clean).cast("long")}.get(name, old)
+        return F.when(F.col("live").isNotNull(), new).otherwise(old).alias(name)
+
+    return joined.select(*map(column, docs.columns))

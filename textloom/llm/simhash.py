@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, kept, row_key, small_batches, whole
+from textloom.llm.common import ascii_lower, kept, row_key, small_batches, whole, whole_rows
 from textloom.llm.components import components
 
 SHINGLE = 3
@@ -125,11 +125,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows equal in id and text one stays, the least by the other columns.
     """
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    kept_keys = near_components(docs, **options).filter("row_key = keeper").select(F.col("row_key").alias("_kept_key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_key(doc_id, text).alias("_key"))
-    chosen = keyed.join(kept_keys, F.col("_key") == F.col("_kept_key"), "left_semi")
-    least = Window.partitionBy("_key").orderBy("_row")
-    return chosen.withColumn("_rank", F.row_number().over(least)).filter("_rank = 1").select("_row.*")
+    keepers = near_components(docs, **options).filter("row_key = keeper").select(F.col("row_key").alias("whole_key")).distinct()
+    chosen = whole_rows(docs, doc_id, text).join(keepers, "whole_key", "left_semi")
+    least = Window.partitionBy("whole_key").orderBy("whole_row")
+    return chosen.withColumn("place", F.row_number().over(least)).filter("place = 1").select("whole_row.*")
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

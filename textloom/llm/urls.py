@@ -36,8 +36,9 @@ class UrlRule:
         return self.host + self.path
 
     def regex(self) -> str:
+        """For the host, a slash, and the path."""
         path = ".*".join(_literal(part) for part in self.path.split("*"))
-        return rf"(?s)\A(?:[^/]*\.)?{_literal(self.host.lower())}{path}"
+        return rf"(?s)\A(?:[^/]*\.)?{_literal(self.host.lower())}/{path}"
 
     def tokens(self) -> list[str]:
         """Literal tokens that a fitting URL holds whole: both of their ends are fixed by the rule."""
@@ -75,7 +76,8 @@ def judge_urls(
     )
     filed = _filed(spark.createDataFrame([(r.text, r.regex(), r.tokens(), r.verdict) for r in rules], _RULE_SCHEMA), parsed)
     candidates = _tokens(parsed).join(filed, "token")
-    fitting = candidates.filter(F.rlike(F.concat("host", "path"), F.col("regex")))
+    # A host holds no slash, so one more slash sets it apart from the path.
+    fitting = candidates.filter(F.rlike(F.concat_ws("/", "host", "path"), F.col("regex")))
     best = fitting.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best")
     )
