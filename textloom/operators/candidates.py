@@ -22,11 +22,16 @@ def align_candidates(prompts: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def short_sources(lines: DataFrame, n_prompts: int) -> DataFrame:
-    """Sources with fewer lines than prompts; empty when all are complete."""
+def short_sources(lines: DataFrame, n_prompts: int, sources: DataFrame | None = None) -> DataFrame:
+    """Sources with fewer lines than prompts; empty when all are complete.
+
+    ``sources`` lists all sources, so that one without any line is found too.
+    """
+    counts = lines.groupBy("source").agg((F.max("line_idx") + 1).alias("n_lines"))
+    if sources is not None:
+        counts = sources.select("source").distinct().join(counts, "source", "left").fillna(0, ["n_lines"])
     return (
-        lines.groupBy("source").agg((F.max("line_idx") + 1).alias("n_lines"))
-        .where(F.col("n_lines") < n_prompts)
+        counts.where(F.col("n_lines") < n_prompts)
         .withColumn("n_prompts", F.lit(n_prompts).cast("bigint"))
     )
 

@@ -41,12 +41,13 @@ def with_lid_gate(df: DataFrame, code_col: str = "code", target_col: str = "targ
 
 
 def target_probs(df: DataFrame, country_col: str = "dialect") -> DataFrame:
-    """Add ``prob`` and ``macro_prob`` of the target class from ``logits``."""
+    """Add ``prob`` and ``macro_prob`` of the target class from ``logits``, and ``known_dialect``."""
     probs = df.withColumn("_probs", softmax(F.col("logits")))
     return (
         with_dialect_class(probs, country_col)
         .withColumn("prob", class_prob(F.col("_probs"), F.col("class_idx")))
         .withColumn("macro_prob", group_prob(F.col("_probs"), F.col("same_macro")))
+        .withColumn("known_dialect", F.col("class_idx").isNotNull())
         .drop("_probs", "class_idx", "dialect_name", "macro", "same_macro")
     )
 
@@ -56,11 +57,11 @@ def fidelity_rows(
 ) -> DataFrame:
     """Per-row ``prob``, ``dialectness``, ``score``, ``macro_score``.
 
-    Empty text, a failed language gate or a disallowed ``msa`` target gives
-    zeros.  Input: ``text, code, target_lang, logits, dialectness, dialect``.
+    Empty text, a failed language gate, an unknown dialect or a disallowed ``msa``
+    target gives zeros.  Input: ``text, code, target_lang, logits, dialectness, dialect``.
     """
     gated = with_lid_gate(target_probs(df), allowed=allowed)
-    valid: Column = clean_text(F.col("text")) != ""
+    valid: Column = (clean_text(F.col("text")) != "") & F.col("known_dialect")
     if require_target_lang:
         valid = valid & F.col("lid_ok")
     if not allow_msa:
@@ -96,12 +97,33 @@ def fidelity_report(rows: DataFrame) -> DataFrame:
     return fidelity_grid(rows.sparkSession).join(scores, keys, "left").fillna(0, ["n", *METRICS])
 
 
+def report_leftovers(rows: DataFrame) -> DataFrame:
+    """Rows per (set, corpus, dialect) that the report's grid does not hold."""
+    keys = ["lang_set", "corpus", "dialect"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(fidelity_grid(rows.sparkSession)), keys, "left_anti")
+
+
 def fidelity_counts(rows: DataFrame) -> DataFrame:
     """Rows and files per corpus with the grand total (null corpus)."""
     files = rows.groupBy("corpus", "dialect").agg(F.count(F.lit(1)).alias("n"))
     return files.rollup("corpus").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
 
 
+def manifest_mismatch(lines: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that are not on both sides: ``source, dialect, n``.
+
+    A listed file without a line has ``n`` 0, a file with lines that is not listed a
+    null dialect.
+    """
+    counts = lines.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    listed = manifest.groupBy("source").agg(F.min("dialect").alias("dialect"), F.lit(True).alias("_listed"))
+    both = listed.join(counts, "source", "full")
+    return both.where(F.col("_listed").isNull() | F.col("n").isNull()).select(
+        "source", "dialect", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
 def attach_manifest(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """Join output lines to their manifest entry ``(source, dialect)``.
 

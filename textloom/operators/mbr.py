@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.ngrams import chrf_matrix
@@ -26,6 +26,7 @@ BLOCK_TEXTS = 64
 BLOCK_CHARS = 1 << 20
 # Fixed value: weight of each repetition penalty in the final risk.
 REPETITION_WEIGHT = 0.1
+# Significant digits at which two sums of one set of numbers count as equal.
 TIE_DIGITS = 12
 
 SCORES = ["p_model", "risk", "word_rep_penalty", "sent_rep_penalty", "risk_final", "p_risk"]
@@ -124,22 +125,32 @@ def score_candidates(
     """Keys and numbers of aligned candidates: posterior, risk, penalties, final risk.
 
     Two results have several readers and are kept: the candidates with their
-    posterior and penalties, and the risks, which hold no text any more.
+    posterior and penalties, without prompt text, and the risks, which hold no text
+    any more.
     """
-    posterior = durable(candidate_softmax(with_repetition(candidates), temperature))
+    bare = candidates.select("prompt_id", "cand_idx", "completion", "score_used")
+    posterior = durable(candidate_softmax(with_repetition(bare), temperature))
     risked = final_risk(expected_risk(posterior, similarity), repetition_weight)
-    numbers = durable(risked.select("prompt_id", "cand_idx", *[c for c in SCORES if c != "p_risk"]))
+    numbers = durable(risked.select("prompt_id", "cand_idx", "score_used", *[c for c in SCORES if c != "p_risk"]))
     return group_softmax(numbers, ["prompt_id"], -F.col("risk_final"), risk_temperature, "p_risk")
 
 
+def significant(value: Column, digits: int = TIE_DIGITS) -> Column:
+    """The number rounded to significant digits; zero, infinities and NaN as they are."""
+    size = F.greatest(F.floor(F.log10(F.abs(value))), F.lit(-280))
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - size)
+    plain = (value == 0) | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(plain, value).otherwise(F.round(value * scale) / scale)
+
+
 def _ranking() -> list:
-    """High ``p_risk``, then high ``p_model``, then candidate order.
+    """Low final risk, then high model score, then candidate order.
 
-    Rounded, so that equal risks summed in another order stay a tie.
+    These are the orders of ``p_risk`` and ``p_model``, which underflow at a low
+    temperature and so are not compared themselves.  Rounded in proportion, so that
+    equal risks summed in another order stay a tie at any size.
     """
-    return [
-        F.desc(F.round("p_risk", TIE_DIGITS)), F.desc(F.round("p_model", TIE_DIGITS)), F.asc("cand_idx"),
-    ]
+    return [F.asc(significant(F.col("risk_final"))), F.desc(significant(F.col("score_used"))), F.asc("cand_idx")]
 
 
 def rank_by_risk(candidates: DataFrame, scored: DataFrame) -> DataFrame:
@@ -148,7 +159,7 @@ def rank_by_risk(candidates: DataFrame, scored: DataFrame) -> DataFrame:
     Only keys and numbers are sorted; the texts join by key.
     """
     ranks = number_rows(scored, ["prompt_id"], _ranking(), "rank_by_risk")
-    return candidates.join(ranks, ["prompt_id", "cand_idx"])
+    return candidates.join(ranks.drop("score_used"), ["prompt_id", "cand_idx"])
 
 
 def best_candidates(candidates: DataFrame, scored: DataFrame) -> DataFrame:
@@ -159,4 +170,4 @@ def best_candidates(candidates: DataFrame, scored: DataFrame) -> DataFrame:
     """
     window = Window.partitionBy("prompt_id").orderBy(*_ranking())
     best = scored.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
-    return candidates.join(best, ["prompt_id", "cand_idx"])
+    return candidates.join(best.drop("score_used"), ["prompt_id", "cand_idx"])

@@ -12,16 +12,34 @@ from textloom.operators.slices import running_before
 LOG_KEYS = ("run", "step", "ts")
 
 
+def _step(text: Column) -> Column:
+    return text.try_cast("double").try_cast("bigint")
+
+
+def rejected_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """Lines ``metrics_long`` cannot place, with the reason and how often they stand there."""
+    record = F.from_json(F.col(line_col), "map<string,string>")
+    reasons = lines.select(F.col(line_col).alias("line"), record.alias("r")).select(
+        "line",
+        F.when(F.coalesce(F.size("r"), F.lit(0)) <= 0, "no record")
+        .when(_step(F.try_element_at("r", F.lit("step"))).isNull(), "no step")
+        .when(F.try_to_timestamp(F.try_element_at("r", F.lit("ts"))).isNull(), "no time").alias("reason"),
+    )
+    return reasons.where(F.col("reason").isNotNull()).groupBy("line", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def metrics_long(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """JSON-line records with any metric keys to one row per metric.
 
-    A key whose value is no finite number or infinity (NaN, text) gives no row.
+    A key whose value is no finite number or infinity (NaN, text) gives no row.  A
+    step may be written as a float; one that is no number, and a time that is none,
+    are null.  Lines that are no JSON object give no rows (see ``rejected_lines``).
     """
     record = F.from_json(F.col(line_col), "map<string,string>")
     parsed = lines.select(record.alias("r")).select(
-        F.element_at("r", "run").alias("run"),
-        F.element_at("r", "step").cast("bigint").alias("step"),
-        F.to_timestamp(F.element_at("r", "ts")).alias("ts"),
+        F.try_element_at("r", F.lit("run")).alias("run"),
+        _step(F.try_element_at("r", F.lit("step"))).alias("step"),
+        F.try_to_timestamp(F.try_element_at("r", F.lit("ts"))).alias("ts"),
         F.explode(F.map_filter("r", lambda k, _: ~k.isin(*LOG_KEYS))).alias("metric", "_v"),
     )
     value = F.expr("try_cast(_v as double)")

@@ -271,10 +271,7 @@ def _fidelity_rows(spark, sf_dir):
         F.get(F.array(*[F.lit(c) for _, c in _SETS]), slot).alias("corpus"),
         (F.col("doc_id") % n).alias("vec_id"),
     )
-    # An unknown dialect has no class, so its scores come out as zero too.
-    rows = D.fidelity_rows(docs.join(vectors, "vec_id"), allowed=ALLOWED)
-    known = F.col("dialect").isin(_COUNTRIES)
-    return rows.withColumn("dialectness", F.when(known, F.col("dialectness")).otherwise(0.0))
+    return D.fidelity_rows(docs.join(vectors, "vec_id"), allowed=ALLOWED)
 
 
 _METRICS_SQL = ", ".join(f"{T.r6(f'coalesce(avg({m}), 0)')} AS {m}" for m in D.METRICS)
@@ -312,7 +309,32 @@ def fidelity_macro(spark, sf_dir):
 
 
 @query("fidelity_counts", f"""
-    WITH {_FIDELITY}, files AS (SELECT corpus, dialect, count(*) AS n FROM rows WHERE corpus IS NOT NULL GROUP BY ALL)
+    WITH {_FIDELITY}, files AS (SELECT coalesce(corpus, 'unlisted') AS corpus, dialect, count(*) AS n FROM rows GROUP BY ALL)
     SELECT corpus, sum(n)::BIGINT AS n, count(*) AS k FROM files GROUP BY ROLLUP (corpus)""")
 def fidelity_counts(spark, sf_dir):
-    return D.fidelity_counts(_fidelity_rows(spark, sf_dir).where("corpus IS NOT NULL"))
+    return D.fidelity_counts(_fidelity_rows(spark, sf_dir).withColumn("corpus", F.coalesce("corpus", F.lit("unlisted"))))
+
+
+@query("report_leftovers", f"""
+    WITH {_FIDELITY}
+    SELECT lang_set, corpus, dialect, count(*) AS n FROM rows
+    WHERE NOT EXISTS (SELECT 1 FROM {_GRID_SQL} g
+                      WHERE g.lang_set = rows.lang_set AND g.corpus = rows.corpus AND g.dialect = rows.dialect)
+    GROUP BY ALL""")
+def report_leftovers(spark, sf_dir):
+    return D.report_leftovers(_fidelity_rows(spark, sf_dir))
+
+
+@query("manifest_mismatch", """
+    WITH listed AS (SELECT source || '.out' AS source, min(lang) AS dialect FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL
+                    UNION ALL SELECT 'gone' || item_id, 'nowhere' FROM benchmark),
+    counts AS (SELECT CASE WHEN doc_id % 3 = 0 THEN source || '.txt' ELSE source || '.out' END AS source, count(*) AS n
+               FROM documents GROUP BY ALL)
+    SELECT source, dialect, coalesce(n, 0) AS n FROM listed FULL JOIN counts USING (source) WHERE dialect IS NULL OR n IS NULL""")
+def manifest_mismatch(spark, sf_dir):
+    """Documents as output lines of files, of which one kind of name is not listed, and listed files that are not there."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    lines = docs.select(F.concat("source", F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".out")).alias("source"))
+    listed = docs.where("doc_id % 5 <> 0").groupBy(F.concat("source", F.lit(".out")).alias("source")).agg(F.min("lang").alias("dialect"))
+    gone = items.select(F.concat(F.lit("gone"), "item_id").alias("source"), F.lit("nowhere").alias("dialect"))
+    return D.manifest_mismatch(lines, listed.unionByName(gone))

@@ -89,10 +89,10 @@ def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user text of every fourth conversation."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id % 4 = 0")
-    return turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt")).select(
-        F.floor(F.col("conv_id") / 4).alias("prompt_id"), "prompt"
+    """First user text of each four conversations."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.groupBy(F.floor(F.col("conv_id") / 4).alias("prompt_id")).agg(
+        F.min_by("text", F.struct("conv_id", "turn")).alias("prompt")
     )
 
 

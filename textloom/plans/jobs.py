@@ -49,16 +49,18 @@ def rank_outputs(
     """Ranked candidates of each prompt from parallel output files.
 
     ``add_logprobs`` adds ``logp_sum`` and ``token_count`` from the model.
-    Sources are ordered by path.  With ``strict`` a short file is an error.
+    Sources are ordered as the paths are given, then by name.  With ``strict`` a
+    short or empty file is an error.
     """
     configure(spark)
     prompts = readers.read_prompts(spark, prompts_path)
     lines = readers.read_parallel_lines(spark, output_paths)
+    files = durable(readers.list_files(spark, output_paths))
     if strict:
-        short = short_sources(lines, prompts.count()).limit(5).collect()
+        short = short_sources(lines, prompts.count(), files).limit(5).collect()
         if short:
             raise ValueError(f"files with too few lines: {[(r.source, r.n_lines) for r in short]}")
-    sources = number_rows(lines.select("source").distinct(), [], [F.asc("source")], "cand_idx")
+    sources = number_rows(files, [], [F.asc("place"), F.asc("source")], "cand_idx").drop("place")
     candidates = align_candidates(prompts, lines.join(sources, "source"))
     if dedupe:
         candidates = dedupe_candidates(candidates)

@@ -28,11 +28,15 @@ _BEST = f"""
     FROM tracked GROUP BY run, metric, mode"""
 
 
-def _log_lines(events):
-    """Events as the JSON lines a training run appends."""
+def _log_lines(events, odd=False):
+    """Events as the JSON lines a training run appends; ``odd``: some steps as floats, some times unreadable."""
+    step, time = F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    if odd:
+        step = F.when(F.col("event_id") % 19 == 0, F.concat(step, F.lit(".0"))).otherwise(step)
+        time = F.when(F.col("event_id") % 23 == 0, "n/a").otherwise(time)
     return events.select(F.concat(
-        F.lit('{"run":"'), F.col("user_id"), F.lit('","step":'), F.col("event_id"), F.lit(',"ts":"'),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit('","'), F.col("event_type"), F.lit('":'),
+        F.lit('{"run":"'), F.col("user_id"), F.lit('","step":'), step, F.lit(',"ts":"'),
+        time, F.lit('","'), F.col("event_type"), F.lit('":'),
         F.when(F.col("event_id") % 17 == 0, F.lit("NaN")).otherwise(F.col("value").cast("string")),
         F.lit(',"eval_k":'), F.get_json_object("props", "$.k"), F.lit("}"),
     ).alias("value"))
@@ -42,7 +46,18 @@ def _log_lines(events):
     SELECT user_id::VARCHAR AS run, event_id AS step, event_type AS metric, value FROM events WHERE event_id % 17 <> 0
     UNION ALL SELECT user_id::VARCHAR, event_id, 'eval_k', (props->>'$.k')::DOUBLE FROM events""")
 def metrics_long(spark, sf_dir):
-    return R.metrics_long(_log_lines(table(spark, sf_dir, "events"))).select("run", "step", "metric", "value")
+    lines = _log_lines(table(spark, sf_dir, "events"), odd=True)
+    return R.metrics_long(lines.unionAll(lines.select(F.lit("cut {")))).select("run", "step", "metric", "value")
+
+
+@query("rejected_lines", """
+    SELECT reason, sum(n)::BIGINT AS n, count(*) AS k FROM (
+        SELECT 'no time' AS reason, 1 AS n FROM events WHERE event_id % 23 = 0
+        UNION ALL SELECT 'no record', count(*) FROM events) GROUP BY reason""")
+def rejected_lines(spark, sf_dir):
+    lines = _log_lines(table(spark, sf_dir, "events"), odd=True)
+    found = R.rejected_lines(lines.unionAll(lines.select(F.lit("cut {"))))
+    return found.groupBy("reason").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
 
 
 @query("loss_ppl", f"""

@@ -37,13 +37,23 @@ _RISK = f"""
               JOIN texts o ON o.prompt_id = s.prompt_id AND o.text_id = s.j GROUP BY ALL),
     risked AS (SELECT post.*, risk FROM post JOIN risks USING (prompt_id, completion))"""
 
-_FINAL = f"""
+def _significant(value: str) -> str:
+    scale = f"pow(10.0::DOUBLE, 11 - greatest(floor(log10(abs({value}))), -280))"
+    return f"CASE WHEN {value} = 0 OR NOT isfinite({value}) THEN {value} ELSE round({value} * {scale}) / {scale} END"
+
+
+def _final(risk_temperature: float = 1.0) -> str:
+    return f"""
     {T.repetition('texts', 'prompt_id, text_id', 'completion', 'reps')},
     pen AS (SELECT risked.*, greatest(w4, c8, run) AS word_rep_penalty, greatest(rep, loop) AS sent_rep_penalty
             FROM risked JOIN texts USING (prompt_id, completion) JOIN reps USING (prompt_id, text_id)),
     fin AS (SELECT *, risk + 0.1::DOUBLE * (word_rep_penalty + sent_rep_penalty) AS risk_final FROM pen),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(p_risk, 12) DESC, round(p_model, 12) DESC, cand_idx) AS rank_by_risk
-               FROM ({T.softmax_over('fin', '(-risk_final)', 'prompt_id', 'p_risk')}))"""
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY {_significant('risk_final')},
+                                            {_significant('score_used')} DESC, cand_idx) AS rank_by_risk
+               FROM ({T.softmax_over('fin', f'(-risk_final / {risk_temperature}::DOUBLE)', 'prompt_id', 'p_risk')}))"""
+
+
+_FINAL = _final()
 
 
 @query("align_candidates", f"""
@@ -147,6 +157,16 @@ def mbr_rank(spark, sf_dir):
     )
 
 
+@query("mbr_rank_cold", f"""
+    WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_final(0.01)}
+    SELECT prompt_id, rank_by_risk, cand_idx, {T.r6('p_risk')} AS p_risk FROM ranked""")
+def mbr_rank_cold(spark, sf_dir):
+    """Ranks at a risk temperature where most probabilities vanish."""
+    aligned = candidates(spark, sf_dir)
+    ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned, risk_temperature=0.01))
+    return ranked.select("prompt_id", "rank_by_risk", "cand_idx", r6("p_risk").alias("p_risk"))
+
+
 @query("mbr_best", f"""
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
     SELECT prompt_id, cand_idx, completion, {T.r6('risk_final')} AS risk_final FROM ranked WHERE rank_by_risk = 1""")

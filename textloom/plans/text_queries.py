@@ -243,13 +243,15 @@ def parse_dataset_name(spark, sf_dir):
 @query("parse_run_path", """
     SELECT doc_id, 'base' || (doc_id % 3) AS base, (doc_id % 5 + 1) / 10.0::DOUBLE AS top_p,
            (doc_id % 4 + 5) / 10.0::DOUBLE AS temperature, 'fidelity' AS method, 'mono' AS lang_set,
-           source AS corpus, lang AS dialect FROM documents""")
+           source AS corpus, lang AS dialect FROM documents WHERE doc_id % 7 <> 0
+    UNION ALL SELECT doc_id, '', NULL, NULL, '', '', '', '' FROM documents WHERE doc_id % 7 = 0""")
 def parse_run_path(spark, sf_dir):
     path = F.format_string(
         "file:/out/base%d_0.%d_0.%d/fidelity/mono/%s/%s.out",
         F.col("doc_id") % 3, F.col("doc_id") % 5 + 1, F.col("doc_id") % 4 + 5, F.col("source"), F.col("lang"),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", *run_path_fields(path))
+    odd = F.when(F.col("doc_id") % 7 == 0, F.lit("file:/out/base_x_y/m/s/c/d.out")).otherwise(path)
+    return table(spark, sf_dir, "documents").select("doc_id", *run_path_fields(odd))
 
 
 @query("incremental_todo", """

@@ -132,8 +132,8 @@ CANDIDATES = f"""
         UNION ALL SELECT 'wide_' || source, line_idx, cand_idx + 20000, replace(completion, ' ', '  ')
                   FROM base WHERE cand_idx < 1000),
     prompts AS (
-        SELECT conv_id // 4 AS prompt_id, arg_min(text, turn) AS prompt
-        FROM conversations WHERE role = 'user' AND conv_id % 4 = 0 GROUP BY conv_id),
+        SELECT conv_id // 4 AS prompt_id, arg_min(text, (conv_id, turn)) AS prompt
+        FROM conversations WHERE role = 'user' GROUP BY conv_id // 4),
     aligned AS (
         SELECT prompt_id, prompt, source, cand_idx, {strip('completion')} AS completion
         FROM prompts JOIN lines ON line_idx = prompt_id WHERE {strip('completion')} <> ''),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,15 @@ def line_text(line: Column) -> Column:
     return F.when(parsed.isNotNull(), strip(found)).otherwise(text)
 
 
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``source, place`` of the files, also of empty ones; ``place`` is the path's in the list given, then by name."""
+    found = [
+        spark.read.format("binaryFile").load(p).select(F.col("_metadata.file_path").alias("source"), F.lit(i).alias("place"))
+        for i, p in enumerate([path] if isinstance(path, str) else path)
+    ]
+    return reduce(DataFrame.unionByName, found).groupBy("source").agg(F.min("place").alias("place"))
+
+
 def read_parallel_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source, line_idx, completion`` of output files, text or JSON lines."""
     lines = read_lines(spark, path)
@@ -185,9 +196,9 @@ _RUN_FIELDS = ["base", "top_p", "temperature", "method", "lang_set", "corpus", "
 
 
 def run_path_fields(path: Column) -> list[Column]:
-    """Columns carried by the path of an output file of a sampling run."""
+    """Columns carried by the path of an output file of a sampling run; empty and null for any other path."""
     fields = [F.regexp_extract(path, _RUN_PATH, i + 1).alias(name) for i, name in enumerate(_RUN_FIELDS)]
-    fields[1:3] = [f.cast("double").alias(n) for f, n in zip(fields[1:3], _RUN_FIELDS[1:3])]
+    fields[1:3] = [f.try_cast("double").alias(n) for f, n in zip(fields[1:3], _RUN_FIELDS[1:3])]
     return fields
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.repetition import with_repetition
-from textloom.operators.runlog import metrics_long
+from textloom.operators.runlog import best_final, metrics_long
 from textloom.sources.readers import line_text
 
 RECORD_KEYS = ["run", "metric", "step"]
@@ -28,18 +28,12 @@ def distinct_records(records: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def best_so_far(records: DataFrame, modes: dict[str, str]) -> DataFrame:
-    """Best value and its earliest step per run and metric.
+    """Best value and its earliest step per run and metric, as ``best_final`` gives it.
 
     Repeats do not change it, so it needs no dedupe; its state is one row per
     run and metric.
     """
-    pairs = [F.lit(x) for item in modes.items() for x in item]
-    tracked = records.where(F.col("metric").isin(*modes)).withColumn(
-        "mode", F.element_at(F.create_map(*pairs), F.col("metric"))
-    )
-    cost = F.when(F.col("mode") == "max", -F.col("value")).otherwise(F.col("value"))
-    best = tracked.groupBy("run", "metric", "mode").agg(F.min(F.struct(cost.alias("cost"), "step", "value")).alias("b"))
-    return best.select("run", "metric", "mode", F.col("b.value").alias("best_value"), F.col("b.step").alias("best_step"))
+    return best_final(records, modes)
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
