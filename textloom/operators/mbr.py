@@ -143,13 +143,16 @@ def significant(value: Column, digits: int = TIE_DIGITS) -> Column:
     return F.when(plain, value).otherwise(F.round(value * scale) / scale)
 
 
-def _ranking() -> list:
+def _ranking(scored: DataFrame) -> list:
     """Low final risk, then high model score, then candidate order.
 
     These are the orders of ``p_risk`` and ``p_model``, which underflow at a low
     temperature and so are not compared themselves.  Rounded in proportion, so that
-    equal risks summed in another order stay a tie at any size.
+    equal risks summed in another order stay a tie at any size.  Only a table that
+    holds no risks is ranked by its probabilities.
     """
+    if "risk_final" not in scored.columns:
+        return [F.desc(significant(F.col("p_risk"))), F.desc(significant(F.col("p_model"))), F.asc("cand_idx")]
     return [F.asc(significant(F.col("risk_final"))), F.desc(significant(F.col("score_used"))), F.asc("cand_idx")]
 
 
@@ -158,7 +161,7 @@ def rank_by_risk(candidates: DataFrame, scored: DataFrame) -> DataFrame:
 
     Only keys and numbers are sorted; the texts join by key.
     """
-    ranks = number_rows(scored, ["prompt_id"], _ranking(), "rank_by_risk")
+    ranks = number_rows(scored, ["prompt_id"], _ranking(scored), "rank_by_risk")
     return candidates.join(ranks.drop("score_used"), ["prompt_id", "cand_idx"])
 
 
@@ -168,6 +171,6 @@ def best_candidates(candidates: DataFrame, scored: DataFrame) -> DataFrame:
     ``row_number = 1`` becomes a limit in each map task, so no prompt is sorted
     as a whole.
     """
-    window = Window.partitionBy("prompt_id").orderBy(*_ranking())
+    window = Window.partitionBy("prompt_id").orderBy(*_ranking(scored))
     best = scored.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
     return candidates.join(best.drop("score_used"), ["prompt_id", "cand_idx"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.arrays import IGNORE, pad_right, take
-from textloom.operators.slices import first_n, number_by_hash, number_rows
+from textloom.operators.slices import first_n, number_by_hash, number_rows, take_by_hash
 
 DEFAULT_CHRF_EVAL_N = 64
 TOKEN_COLUMNS = ("input_ids", "attention_mask", "labels")
@@ -41,11 +41,12 @@ def sample_frac(df: DataFrame, group: Sequence[str], key: Column, frac: Column |
     """
     if isinstance(frac, (int, float)):
         if not 0.0 < frac <= 1.0:
-            raise ValueError(f"sample_frac must be in (0,1], got {frac}")
+            raise ValueError(f"a share of rows lies above 0 and at most at 1; {frac} does not")
         frac = F.lit(float(frac))
-    ranked = number_by_hash(with_group_size(df, group), group, key, seed, "_rank")
-    wanted = F.greatest(F.lit(1), F.rint(F.col("_size") * frac))
-    return ranked.where(F.col("_rank") <= wanted).drop("_rank", "_size")
+    def wanted(size: Column, share: Column) -> Column:
+        return F.greatest(F.lit(1), F.rint(size * share))
+
+    return take_by_hash(df, group, key, seed, wanted, frac, "_taken").where("_taken").drop("_taken")
 
 
 def sample_rows(
@@ -73,10 +74,8 @@ def _val_rows(size: Column, val_ratio: Column) -> Column:
 def train_val_split(df: DataFrame, group: Sequence[str], key: Column, val_ratio: Column | float, seed: int) -> DataFrame:
     """Add ``part``: ``val`` for the first rows of a seeded order, else ``train``."""
     ratio = F.lit(float(val_ratio)) if isinstance(val_ratio, (int, float)) else val_ratio
-    ranked = number_by_hash(with_group_size(df, group), group, key, seed, "_rank")
-    return ranked.withColumn(
-        "part", F.when(F.col("_rank") <= _val_rows(F.col("_size"), ratio), "val").otherwise("train")
-    ).drop("_rank", "_size")
+    flagged = take_by_hash(df, group, key, seed, _val_rows, ratio, "_val")
+    return flagged.withColumn("part", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
 @dataclass(frozen=True)
@@ -96,7 +95,7 @@ class MixEntry:
         if self.role not in ("train", "eval"):
             raise ValueError(f"dataset {self.name}: invalid role {self.role!r}")
         if self.sample_frac is not None and not 0.0 < self.sample_frac <= 1.0:
-            raise ValueError(f"dataset {self.name}: sample_frac must be in (0,1], got {self.sample_frac}")
+            raise ValueError(f"{self.name}: a share of rows lies above 0 and at most at 1; {self.sample_frac} does not")
         return self
 
 
@@ -109,7 +108,7 @@ PLAN_SCHEMA = (
 def plan_table(spark, entries: Sequence[MixEntry], chrf_eval_n: int | None = None) -> DataFrame:
     """The plan as a table, with defaults filled in."""
     if not any(e.checked().role == "train" for e in entries):
-        raise ValueError("no training data: add at least one dataset with role 'train'")
+        raise ValueError("the plan names no dataset to train on")
     fallback = DEFAULT_CHRF_EVAL_N if chrf_eval_n is None else chrf_eval_n
     rows = [
         (

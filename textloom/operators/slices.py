@@ -8,7 +8,8 @@ bounded by the slice, and what a slice needs from earlier ones is one row per
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from textloom.session import durable
 
 SLICE = "_slice"
-# Hex digits of the seeded hash that name a slice: 4096 slices per group.
+# A slice of a seeded order holds about so many rows at most ...
+_SLICE_ROWS = 1 << 20
+# ... and is named by so many hex digits of the hash at least.
 _HASH_DIGITS = 3
 # Up to here Catalyst turns "row_number <= n" into a limit before the shuffle.
 _GROUP_LIMIT = 1000
@@ -35,7 +38,10 @@ def range_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -
 def hash_slices(df: DataFrame, key: Column, seed: int) -> DataFrame:
     """Slice by a seeded hash of the row key; also adds the hash as ``_hash``."""
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))))
-    return hashed.withColumn(SLICE, F.substring("_hash", 1, _HASH_DIGITS))
+    digits = _HASH_DIGITS
+    if (rows := df.count()) > _SLICE_ROWS * 16 ** digits:
+        digits = math.ceil(math.log(rows / _SLICE_ROWS, 16))
+    return hashed.withColumn(SLICE, F.substring("_hash", 1, digits))
 
 
 def _number_within(sliced: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -65,8 +71,37 @@ def number_by_hash(
     return _number_within(sliced, group, [F.col("_hash"), tie], out).drop("_hash")
 
 
+def take_by_hash(
+    df: DataFrame, group: Sequence[str], key: Column, seed: int, wanted: Callable[[Column, Column], Column], share: Column, out: str
+) -> DataFrame:
+    """Flag the first rows of a seeded order per group; ``wanted(size, share)`` says how many.
+
+    ``share`` is one value per group.  Slices before the one with the last wanted row
+    are taken whole and those behind it not at all, by comparison with one small row
+    per group; only the rows of that one slice are sorted.
+    """
+    sliced = hash_slices(df, key, seed)
+    counts = sliced.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_n"), F.first(share).alias("_share"))
+    of_group = Window.partitionBy(*group)
+    so_far = of_group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = counts.withColumn("_size", F.sum("_n").over(of_group)).withColumn("_upto", F.sum("_n").over(so_far))
+    last = F.least(F.col("_size"), wanted(F.col("_size"), F.col("_share")))
+    edges = sized.withColumn("_last", last).where((F.col("_upto") - F.col("_n") < F.col("_last")) & (F.col("_last") <= F.col("_upto")))
+    edges = edges.select(*group, F.col(SLICE).alias("_edge"), (F.col("_last") - F.col("_upto") + F.col("_n")).alias("_left"))
+    known = sliced.join(edges, list(group), "left")
+    on_edge = F.coalesce(F.col(SLICE) == F.col("_edge"), F.lit(False))
+    order = Window.partitionBy(*group, SLICE).orderBy("_hash", key.cast("string"))
+    sure = known.where(~on_edge).withColumn(out, F.coalesce(F.col(SLICE) < F.col("_edge"), F.lit(False)))
+    ranked = known.where(on_edge).withColumn(out, F.row_number().over(order) <= F.col("_left"))
+    return sure.unionByName(ranked).select(*df.columns, out)
+
+
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows of each group in the stated order."""
+    """First n rows of each group in the stated order.
+
+    The same rows either way: up to _GROUP_LIMIT by a window that Spark limits
+    before its shuffle, beyond it by slices.
+    """
     if n > _GROUP_LIMIT:
         return number_rows(df, group, order, "_rn").where(F.col("_rn") <= n).drop("_rn")
     window = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)

@@ -84,24 +84,31 @@ def spread(table: DataFrame, *keys: str) -> DataFrame:
     return table.repartition(cores, *keys)
 
 
+# A task reads blocks of some 128 MB, or as many small files as take as long (4 MB each
+# at least), so about 32 rows of 200 bytes; together they stay below 64 MB.
+_BROADCAST_TASKS = 10_000
+
+
 def number_lines(raw: DataFrame, order: str = "_at") -> DataFrame:
     """0-based line number per file from the block and the order inside it.
 
-    Lines are numbered inside each file block and shifted by the line counts of
-    the blocks before it, so a large file is read by many tasks.
+    A task reads the lines of a block one after another and ``order`` counts them, so
+    a line's place in its block is its distance from the block's first.  The line
+    counts of the blocks before come from a table of one row per block, which is
+    broadcast while the number of read tasks proves it small: no line is shuffled.
     """
-    in_block = Window.partitionBy("source", "_block").orderBy(order)
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        raw.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = (
+        raw.groupBy("source", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    if raw.rdd.getNumPartitions() <= _BROADCAST_TASKS:
+        blocks = F.broadcast(blocks)
     return (
-        raw.withColumn("_local", F.row_number().over(in_block) - 1)
-        .join(offsets, ["source", "_block"])
-        .withColumn("line_idx", F.col("_local") + F.col("_before"))
-        .drop("_local", "_before", "_block", order)
+        raw.join(blocks, ["source", "_block"])
+        .withColumn("line_idx", F.col(order) - F.col("_first") + F.col("_before"))
+        .drop("_first", "_before", "_block", order)
     )
 
 
