@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-_PLACE_BITS = 21
+_PLACE_BITS = 19
 # Bytes hashed at once; with the overlap of a window it must fit in _PLACE_BITS.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_2 = np.uint64(0xD6E8FEB86659FD93 | 1)
 
