@@ -90,6 +90,9 @@ class MixEntry:
     val_ratio: float = 0.0
     metrics: Sequence[str] = field(default_factory=lambda: ["loss"])
     chrf_eval_n: int | None = None
+    # Where its tokenized rows are, for jobs that read the datasets themselves.
+    path: str | None = None
+    split: str = "train"
 
     def checked(self) -> "MixEntry":
         if self.role not in ("train", "eval"):
@@ -121,12 +124,23 @@ def plan_table(spark, entries: Sequence[MixEntry], chrf_eval_n: int | None = Non
     return spark.createDataFrame(rows, PLAN_SCHEMA)
 
 
+def plan_gaps(data: DataFrame, plan: DataFrame) -> DataFrame:
+    """Datasets on one side only: ``name, planned, n``; a mix would leave them out."""
+    counts = data.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    lines = plan.groupBy("name").agg(F.lit(True).alias("planned"))
+    both = lines.join(counts, "name", "full")
+    return both.where(F.col("planned").isNull() | F.col("n").isNull()).select(
+        "name", F.coalesce("planned", F.lit(False)).alias("planned"), F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
 def dataset_mix(
     data: DataFrame, plan: DataFrame, key: Sequence[str], order: Sequence[Column], seed: int, leak_safe: bool = True
 ) -> DataFrame:
     """Apply a whole mix plan: split, repeat and sample every dataset at once.
 
-    ``data`` has a ``name`` column naming the dataset and a ``key`` unique in it.
+    ``data`` has a ``name`` column naming the dataset and a ``key`` unique in it;
+    datasets without a line in the plan are left out (``plan_gaps`` lists them).
     Adds ``part`` (``train`` or ``eval``), ``eval_group`` and ``copy``.  With
     ``leak_safe`` copies of training rows are made after the split, so no row is
     on both sides; otherwise before it.  The plan is a settings list of a few

@@ -195,6 +195,17 @@ def _mix_sql(leak_safe: bool) -> str:
               FROM (SELECT *, unnest(range(1, {late} + 1)) AS copy1 FROM kept))"""
 
 
+@query("mix_unplanned", """
+    WITH counts AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY source),
+    planned AS (SELECT 'src' || unnest(range(0, 100)) AS name)
+    SELECT coalesce(c.name, p.name) AS name, p.name IS NOT NULL AS planned, coalesce(n, 0) AS n
+    FROM counts c FULL JOIN planned p ON c.name = p.name WHERE c.name IS NULL OR p.name IS NULL""")
+def mix_unplanned(spark, sf_dir):
+    """Sources of the documents against a plan for a hundred of them."""
+    data = table(spark, sf_dir, "documents").withColumnRenamed("source", "name")
+    return M.plan_gaps(data, M.plan_table(spark, [M.MixEntry(f"src{i}") for i in range(100)]))
+
+
 @query("dataset_mix", f"""
     WITH {_mix_sql(True)} SELECT name, conv_id, turn, part, eval_group, copy FROM mixed""")
 def dataset_mix(spark, sf_dir):

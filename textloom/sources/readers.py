@@ -6,10 +6,9 @@ on the order of rows in a DataFrame.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,12 +144,17 @@ def line_text(line: Column) -> Column:
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``source, place`` of the files, also of empty ones; ``place`` is the path's in the list given, then by name."""
-    found = [
-        spark.read.format("binaryFile").load(p).select(F.col("_metadata.file_path").alias("source"), F.lit(i).alias("place"))
-        for i, p in enumerate([path] if isinstance(path, str) else path)
-    ]
-    return reduce(DataFrame.unionByName, found).groupBy("source").agg(F.min("place").alias("place"))
+    """``source, place`` of the files, also of empty ones; ``place`` is the path's in the list given.
+
+    Names only, which the reader of any table lists on the driver anyway; a scan would
+    leave out empty files.
+    """
+    place: dict[str, int] = {}
+    for i, p in enumerate([path] if isinstance(path, str) else path):
+        for name in spark.read.text(p).inputFiles():
+            # Without an authority the metadata column writes one slash.
+            place.setdefault(re.sub("^([a-z]+):///", r"\1:/", name), i)
+    return spark.createDataFrame(list(place.items()), "source string, place int")
 
 
 def read_parallel_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def fixed_point(x: Column, digits: int = 8) -> Column:
     )
 
 
-def ranked_rows(ranked: DataFrame) -> DataFrame:
-    """The 13 output columns as written to CSV."""
+def ranked_rows(ranked: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The 13 output columns as written to CSV, behind the columns of ``also``."""
     return ranked.withColumnRenamed("risk", "risk_1_minus_chrf").select(
-        *[fixed_point(F.col(c)).alias(c) if c in FIXED_POINT else F.col(c) for c in RANKED_COLUMNS]
+        *also, *[fixed_point(F.col(c)).alias(c) if c in FIXED_POINT else F.col(c) for c in RANKED_COLUMNS]
     )
 
 
