@@ -82,9 +82,10 @@ def expected_risk(
 
     ``similarity(hyps, refs)`` returns a matrix in 0..1.
     """
-    texts = candidates.groupBy("prompt_id", "completion").agg(
+    # Read for the block sizes and for the blocks, so kept: key, text and two numbers.
+    texts = durable(candidates.groupBy("prompt_id", "completion").agg(
         F.sum("p_model").alias("mass"), F.min("cand_idx").alias("text_id")
-    )
+    ))
 
     def partial_risks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

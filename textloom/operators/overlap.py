@@ -27,10 +27,23 @@ def pair_lines(hyps: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFra
 def gram_overlap(df: DataFrame, keys: Sequence[str], hyp_tokens: str, ref_tokens: str, max_order: int) -> DataFrame:
     """Per row and order: gram totals of both sides and clipped matches.
 
-    The rows are partitioned by their key once; both aggregations then run where
-    the rows are and no gram crosses the network.  An order without any gram
-    keeps its row of zeros.
+    Up to BLEU_ORDER the counts are made inside each row, so no gram is ever a row.
+    For higher orders the rows are partitioned by their key once; both aggregations
+    then run where the rows are and no gram crosses the network.  An order without
+    any gram keeps its row of zeros.
     """
+    if max_order <= BLEU_ORDER:
+        counted = df.select(*keys, token_counts(F.col(hyp_tokens), F.col(ref_tokens)).alias("_c"))
+        orders = F.array(*[
+            F.struct(F.lit(n + 1).alias("order"), *[
+                F.get("_c", F.lit(3 * n + i)).cast("long").alias(name) for i, name in enumerate(("hyp_grams", "ref_grams", "matches"))
+            ]) for n in range(max_order)
+        ])
+        return counted.select(*keys, F.explode(orders).alias("o")).select(*keys, "o.*")
+    return _gram_overlap_by_rows(df, keys, hyp_tokens, ref_tokens, max_order)
+
+
+def _gram_overlap_by_rows(df: DataFrame, keys: Sequence[str], hyp_tokens: str, ref_tokens: str, max_order: int) -> DataFrame:
     def grams_of(tokens: Column, n: int, is_ref: int) -> Column:
         starts = F.sequence(F.lit(0), F.size(tokens) - n)
 

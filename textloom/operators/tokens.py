@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from textloom.functions.arrays import mask_labels, supervised_share, take
 from textloom.operators.slices import number_rows
 
-# A vocabulary of at most this many entries is sent to every executor.
-BROADCAST_ENTRIES = 200_000
+# A vocabulary of at most this many bytes is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+_ENTRY_BYTES = 48
 
 
 def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
@@ -27,12 +28,13 @@ def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
 def encode(df: DataFrame, keys: Sequence[str], tokens: str, vocabulary: DataFrame, out: str = "input_ids") -> DataFrame:
     """``keys, out``: the token ids of each row in order.
 
-    Rows are partitioned by key first, so with a small vocabulary (its size is
-    counted) the arrays are rebuilt where they were taken apart; a large one is
+    Rows are partitioned by key first, so with a small vocabulary (its bytes are
+    summed) the arrays are rebuilt where they were taken apart; a large one is
     joined by token with hot tokens split by the adaptive join.
     """
     table = vocabulary.select("token", "id")
-    if vocabulary.count() <= BROADCAST_ENTRIES:
+    size = vocabulary.agg(F.sum(F.octet_length("token") + F.lit(_ENTRY_BYTES))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         table = F.broadcast(table)
     taken_apart = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
     rebuilt = taken_apart.join(table, "token", "left").groupBy(*keys).agg(

@@ -9,6 +9,7 @@ from textloom.functions.chat import render_pair
 from textloom.functions.text import words
 from textloom.operators.candidates import align_candidates
 from textloom.operators.tokens import build_vocabulary, encode
+from textloom.session import durable
 from textloom.sources.readers import spread
 
 MAX_LENGTH = 128
@@ -53,13 +54,16 @@ def rendered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of the rendered pairs over their own vocabulary, and the prompt length."""
-    texts = rendered_pairs(spark, sf_dir).select(
+    """Token ids of the rendered pairs over their own vocabulary, and the prompt length.
+
+    Texts and ids have several readers and are kept once each.
+    """
+    texts = durable(rendered_pairs(spark, sf_dir).select(
         "conv_id", "turn", words(F.col("full_text")).alias("tokens"),
         F.size(words(F.col("prompt_text"))).alias("prompt_len"),
-    )
+    ))
     ids = encode(texts, ["conv_id", "turn"], "tokens", build_vocabulary(texts, "tokens"), "full_ids")
-    return texts.drop("tokens").join(ids, ["conv_id", "turn"])
+    return durable(texts.drop("tokens").join(ids, ["conv_id", "turn"]))
 
 
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,8 +242,9 @@ def mix_summary(spark, sf_dir):
            {T.joined('flatten(list(labels ORDER BY pos))[1:200]')} AS labels_digest
     FROM fold JOIN batched USING (batch, pos) GROUP BY batch, bin""")
 def pack_sequences(spark, sf_dir):
-    rows = number_rows(masked_rows(spark, sf_dir), [], [F.asc("conv_id"), F.asc("turn")], "row_id")
-    rows = rows.withColumn("row_id", F.col("row_id") - 1)
+    masked, key = masked_rows(spark, sf_dir), ["conv_id", "turn"]
+    numbers = number_rows(masked.select(*key), [], [F.asc(k) for k in key], "row_id")
+    rows = masked.join(numbers.withColumn("row_id", F.col("row_id") - 1), key)
     return M.pack_sequences(rows, "row_id", 200, batch_rows=32).select(
         "batch", "bin", "n_rows", joined("input_ids").alias("ids_digest"), joined("labels").alias("labels_digest")
     )

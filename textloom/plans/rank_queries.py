@@ -13,6 +13,7 @@ from textloom.plans.fixtures import (
     candidate_lines, candidates, encoded_pairs, prompts, r6,
 )
 from textloom.plans.registry import query
+from textloom.session import durable
 from textloom.sources.writers import ranked_rows
 
 _POSTERIOR = f"post AS ({T.softmax_over('cands', 'score_used', 'prompt_id', 'p_model')})"
@@ -150,7 +151,7 @@ def mbr_final_risk(spark, sf_dir):
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
     SELECT prompt_id, rank_by_risk, cand_idx, source, {T.r6('p_risk')} AS p_risk, {T.r6('risk')} AS risk FROM ranked""")
 def mbr_rank(spark, sf_dir):
-    aligned = candidates(spark, sf_dir)
+    aligned = durable(candidates(spark, sf_dir))
     ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned))
     return ranked.select(
         "prompt_id", "rank_by_risk", "cand_idx", "source", r6("p_risk").alias("p_risk"), r6("risk").alias("risk")
@@ -162,7 +163,7 @@ def mbr_rank(spark, sf_dir):
     SELECT prompt_id, rank_by_risk, cand_idx, {T.r6('p_risk')} AS p_risk FROM ranked""")
 def mbr_rank_cold(spark, sf_dir):
     """Ranks at a risk temperature where most probabilities vanish."""
-    aligned = candidates(spark, sf_dir)
+    aligned = durable(candidates(spark, sf_dir))
     ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned, risk_temperature=0.01))
     return ranked.select("prompt_id", "rank_by_risk", "cand_idx", r6("p_risk").alias("p_risk"))
 
@@ -171,7 +172,7 @@ def mbr_rank_cold(spark, sf_dir):
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
     SELECT prompt_id, cand_idx, completion, {T.r6('risk_final')} AS risk_final FROM ranked WHERE rank_by_risk = 1""")
 def mbr_best(spark, sf_dir):
-    aligned = candidates(spark, sf_dir)
+    aligned = durable(candidates(spark, sf_dir))
     best = mbr.best_candidates(aligned, mbr.score_candidates(aligned))
     return best.select("prompt_id", "cand_idx", "completion", r6("risk_final").alias("risk_final"))
 
@@ -185,7 +186,7 @@ def mbr_best(spark, sf_dir):
            {T.r6('sent_rep_penalty')} AS sent_rep_penalty, {T.r6('word_rep_penalty')} AS word_rep_penalty
     FROM ranked""")
 def mbr_csv_rows(spark, sf_dir):
-    aligned = candidates(spark, sf_dir)
+    aligned = durable(candidates(spark, sf_dir))
     ranked = mbr.rank_by_risk(aligned, mbr.score_candidates(aligned))
     return ranked_rows(ranked).withColumns({
         "prompt": F.md5("prompt"), "completion": F.md5("completion"),
