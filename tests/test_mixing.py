@@ -162,8 +162,8 @@ def test_vocabulary_and_encoding(spark, monkeypatch):
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["c", "b"])], "k int, t array<string>")
     vocabulary = K.build_vocabulary(df, "t")
     assert sorted((r.id, r.token, r.freq) for r in vocabulary.collect()) == [(0, "b", 3), (1, "a", 1), (2, "c", 1)]
-    for limit in (10, 1):
-        monkeypatch.setattr(K, "BROADCAST_ENTRIES", limit)
+    for limit in (1 << 20, 1):
+        monkeypatch.setattr(K, "BROADCAST_BYTES", limit)
         encoded = {r.k: r.input_ids for r in K.encode(df, ["k"], "t", vocabulary).collect()}
         assert encoded == {1: [0, 1, 0], 2: [], 3: [2, 0]}
 

@@ -61,7 +61,7 @@ def fidelity_rows(
     target gives zeros.  Input: ``text, code, target_lang, logits, dialectness, dialect``.
     """
     gated = with_lid_gate(target_probs(df), allowed=allowed)
-    valid: Column = (clean_text(F.col("text")) != "") & F.col("known_dialect")
+    valid: Column = (clean_text(F.col("text")) != "") & (F.col("known_dialect") | (F.col("dialect") == "msa"))
     if require_target_lang:
         valid = valid & F.col("lid_ok")
     if not allow_msa:
