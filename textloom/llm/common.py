@@ -46,14 +46,10 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), whole(text)))
 
 
-def small_enough(df: DataFrame, bytes_per_row: int) -> bool:
-    """Whether ``df`` may be broadcast, by counting its rows."""
-    return df.count() * bytes_per_row <= BROADCAST_BYTES
-
-
-def lookup(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows it."""
-    return F.broadcast(df) if small_enough(df, bytes_per_row) else df
+def lookup(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` with a broadcast hint if the sum of ``row_bytes`` over its rows allows it."""
+    size = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def small_batches(spark: SparkSession) -> None:

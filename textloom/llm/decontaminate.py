@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, lookup, row_key, whole, whole_rows
+from textloom.llm.common import ascii_lower, kept, lookup, row_key, whole, whole_rows
 
 WINDOW = 10
 # Between words: ASCII that is neither a digit nor a lower-case letter, after lower-casing.
@@ -55,13 +55,12 @@ def contamination(
     wordless texts have no hits.  Rows with the same id and text have the same result
     and each keep their row; a null id is an id.  Only the named columns are read.
     """
-    # A gram is some ten words; the items that share it are counted into the size by the count of rows.
-    known = benchmark_windows(benchmark, window, item_id, item_text)
+    known = kept(benchmark_windows(benchmark, window, item_id, item_text), "benchmark")
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``window`` numbers
     texts = docs.select(
         F.col(doc_id).alias("_id"), row_key(doc_id, text).alias("row_key"), words(text).alias("_words")
     )
-    bounded = lookup(known, 1024)
+    bounded = lookup(known, 2 * F.octet_length(F.array_join("gram", " ")) + 2 * F.octet_length(F.array_join("items", " ")) + 300)
     hits = None
     for size in sizes:
         places = texts.select(

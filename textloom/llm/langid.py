@@ -24,6 +24,8 @@ HASHES = 3
 LEAST_SHARE = 2e-5
 # About so many texts of a language are learned from, taken by the hash of their id.
 SAMPLE_PER_LANG = 4000
+# So many language names at most; more are no language names.
+MOST_LANGUAGES = 1024
 UNKNOWN = "und"
 _CHARS_AT_ONCE = 1 << 19
 _SPACE = 32
@@ -127,7 +129,8 @@ def learn(docs: DataFrame, *, doc_id: str, text: str, lang: str, learned: Column
 
     A language with more than ``sample_per_lang`` such rows gives about that many,
     by the hash of the id; n-grams are counted on the cluster and at most
-    1 / LEAST_SHARE of a language come to the driver.
+    1 / LEAST_SHARE of a language come to the driver.  More than MOST_LANGUAGES
+    different language names are an error.
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(learned & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
@@ -135,6 +138,8 @@ def learn(docs: DataFrame, *, doc_id: str, text: str, lang: str, learned: Column
         (F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)) / F.lit(1 << 20)).alias("place"),
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"the table names more than {MOST_LANGUAGES} languages")
     sampled = rows.join(F.broadcast(sizes), "lang").filter(F.col("place") < F.lit(sample_per_lang) / F.col("rows"))
     counted = sampled.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     totals = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -104,5 +104,5 @@ def _filed(rules: DataFrame, parsed: DataFrame) -> DataFrame:
     filed = counted.groupBy("rule", "regex", "verdict").agg(
         F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("least")
     )
-    # Two short strings and a pattern per rule.
-    return lookup(filed.select(F.col("least.token").alias("token"), "rule", "regex", "verdict"), 512)
+    row_bytes = 3 * F.octet_length("rule") + F.octet_length("regex") + 200
+    return lookup(filed.select(F.col("least.token").alias("token"), "rule", "regex", "verdict"), row_bytes)
