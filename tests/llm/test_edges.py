@@ -82,7 +82,7 @@ def test_empty_table(docs, side, name):
 def test_rows_that_stay_whole(docs, side):
     clashing = docs.select("*", *(F.lit("x").alias(c) for c in CLASHES))
     for kept in (without_contaminated(clashing, side["benchmark"]), without_secrets(clashing), one_of_each(clashing),
-                 without_toxic(clashing, fit(docs.limit(0).selectExpr("1 AS toxic", "array('a') AS words", "array(1) AS counts").toPandas()))):
+                 without_toxic(clashing, fit(docs.limit(0).selectExpr("1 AS toxic", "array('a') AS words", "array(1) AS counts").toArrow()))):
         assert kept.columns == clashing.columns
         assert kept.count() <= len(TEXTS)
 

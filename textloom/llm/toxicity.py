@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,8 @@ def features_of(word: str) -> list[str]:
 
 
 def dampened(count: int) -> float:
-    """What a word counts that stands ``count`` times; repeating one word must not decide alone.  Odd, for changes."""
-    return math.copysign(math.log2(1 + abs(count)), count)
+    """What a word counts that stands ``count`` times; repeating one word must not decide alone."""
+    return math.log2(1 + count)
 
 
 class Model:
@@ -81,8 +82,8 @@ class Model:
         return self.bias + total / ((sum([n for _, n in weighed]) + PRIOR_WORDS) * UNIT_SHARE)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learned: Column, *, doc_id: str, text: str, label: str) -> pd.DataFrame:
-    """(toxic, text) of the fitted rows: bounded by SAMPLE_TOXIC and SAMPLE_OTHER, taken by the hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, learned: Column, *, doc_id: str, text: str, label: str) -> pa.Table:
+    """(toxic, words, counts) of the fitted rows: bounded by SAMPLE_TOXIC and SAMPLE_OTHER, taken by the hash of the id.
 
     A document labelled twice counts by its largest label; null labels are passed over.
     """
@@ -99,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learned: Column, *, doc_
     found = texts.join(F.broadcast(chosen), "_id").select("_id", "toxic", "_text").mapInArrow(
         _counted, "toxic int, words array<string>, counts array<int>"
     )
-    return found.toPandas()
+    return found.toArrow()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sparse:
-    """Rows of (feature, value)."""
+    """Rows of (feature, value); a feature may stand in a row more than once."""
 
     def __init__(self, index: np.ndarray, value: np.ndarray, row: np.ndarray, rows: int):
         self.index, self.value, self.row, self.rows = index, value, row, rows
@@ -125,67 +126,87 @@ class _Sparse:
         return np.bincount(self.index, weights=self.value * rows[self.row], minlength=size)
 
 
-def fit(sample: pd.DataFrame) -> Model:
+class _Sample:
+    """The sampled rows as numbers: for each (row, word) the features of the word and what it counts.
+
+    Words stay in Arrow; only features of at least LEAST_TEXTS rows get a name.
+    """
+
+    def __init__(self, sample: pa.Table):
+        words, counts = sample["words"].combine_chunks(), sample["counts"].combine_chunks()
+        self.rows = len(sample)
+        self.row = np.repeat(np.arange(self.rows), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        self.word, self.names = coded.indices.to_numpy(), coded.dictionary
+        self.count = counts.flatten().to_numpy().astype(float)
+        weighed = np.log2(1 + self.count)
+        units = (np.bincount(self.row, weights=weighed, minlength=self.rows) + PRIOR_WORDS) * UNIT_SHARE
+        self.value = weighed / units[self.row]
+        lengths = pc.utf8_length(self.names).to_numpy()
+        self.features: dict[str, int] = {}
+        index, value, row = [], [], []
+        for n in (None, *PREFIXES):
+            begun = self.names if n is None else pc.utf8_slice_codeunits(self.names, 0, n)
+            feature = begun.dictionary_encode()
+            of_word = feature.indices.to_numpy().copy()
+            if n is not None:
+                of_word[lengths < n] = -1
+            mine = of_word[self.word]
+            pairs = np.unique(self.row[mine >= 0] * len(feature.dictionary) + mine[mine >= 0])
+            frequent = np.bincount(pairs % max(1, len(feature.dictionary)), minlength=len(feature.dictionary)) >= LEAST_TEXTS
+            number = np.where(frequent, np.cumsum(frequent) - 1 + len(self.features), -1)
+            kept = number[mine] * (mine >= 0) - (mine < 0)
+            index.append(kept[kept >= 0].astype(np.int32))
+            value.append(self.value[kept >= 0].astype(np.float32))
+            row.append(self.row[kept >= 0].astype(np.int32))
+            mark = "" if n is None else "|"
+            for name in feature.dictionary.filter(pa.array(frequent)).to_pylist():
+                self.features[name + mark] = len(self.features)
+        self.texts = _Sparse(np.concatenate(index), np.concatenate(value), np.concatenate(row), self.rows)
+
+    def swaps(self) -> _Sparse:
+        """For each row and each group it names, the change of its features when another name stands there."""
+        place = {term: i for i, term in enumerate(IDENTITY_TERMS)}
+        term_of = np.array([place.get(name, -1) for name in self.names.to_pylist()])
+        named = np.flatnonzero(term_of[self.word] >= 0)
+        index, value, row, rows = [], [], [], 0
+        for at in named:
+            term = int(term_of[self.word[at]])
+            for step in range(1, COPIES + 1):
+                other = (term + 7 * step) % len(IDENTITY_TERMS)
+                for name, sign in ((IDENTITY_TERMS[other], 1), (IDENTITY_TERMS[term], -1)):
+                    for f in features_of(name):
+                        if f in self.features:
+                            index.append(self.features[f])
+                            value.append(sign * self.value[at])
+                            row.append(rows)
+                rows += 1
+        return _Sparse(np.array(index, dtype=np.int64), np.array(value), np.array(row, dtype=np.int64), rows)
+
+
+def fit(sample: pa.Table) -> Model:
     """The model of the sampled rows (toxic, words, counts); a constant one if a label is missing."""
-    truth = sample["toxic"].to_numpy(dtype=float)
+    truth = sample["toxic"].to_numpy().astype(float)
     if len(truth) == 0 or truth.min() == truth.max():
         return Model(0.0 if len(truth) == 0 else (5.0 if truth[0] else -5.0), {})
-    seen: Counter[str] = Counter()
-    for words in sample["words"]:
-        seen.update({f for w in words for f in features_of(w)})
-    names = sorted(f for f, n in seen.items() if n >= LEAST_TEXTS)
-    number = {f: i for i, f in enumerate(names)}
-    del seen
-    texts = _rows(zip(sample["words"], sample["counts"]), number)
-    changes = _rows(_swaps(sample), number)
+    numbers = _Sample(sample)
+    texts, changes, size = numbers.texts, numbers.swaps(), len(numbers.features)
     # Both labels weigh the same.
     weight = np.where(truth == 1, 0.5 / truth.sum(), 0.5 / (len(truth) - truth.sum()))
-    w, bias = np.zeros(len(names)), 0.0
-    moment, spread = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, bias = np.zeros(size), 0.0
+    moment, spread = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
         logit = texts.times(w) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - truth)
-        slope = texts.back(error, len(names)) + RIDGE * w
+        slope = texts.back(error, size) + RIDGE * w
         if changes.rows:
-            slope += 2 * COUNTERFACTUAL / changes.rows * changes.back(changes.times(w), len(names))
+            slope += 2 * COUNTERFACTUAL / changes.rows * changes.back(changes.times(w), size)
         slope = np.append(slope, error.sum())
         moment = 0.9 * moment + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope * slope
         move = 0.05 * (moment / (1 - 0.9 ** step)) / (np.sqrt(spread / (1 - 0.99 ** step)) + 1e-7)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3})
-
-
-def _rows(texts, number: dict[str, int]) -> _Sparse:
-    """Feature values of (words, counts): the count's share of all, over UNIT_SHARE.  Counts may be negative."""
-    index, value, row, rows = [], [], [], 0
-    for words, counts in texts:
-        counts = [dampened(c) for c in counts]
-        unit = (sum(map(abs, counts)) + PRIOR_WORDS) * UNIT_SHARE
-        found: dict[int, float] = {}
-        for word, count in zip(words, counts):
-            for f in features_of(word):
-                i = number.get(f)
-                if i is not None:
-                    found[i] = found.get(i, 0.0) + count / unit
-        index.append(np.fromiter(found, dtype=np.int32, count=len(found)))
-        value.append(np.fromiter(found.values(), dtype=np.float32, count=len(found)))
-        row.append(np.full(len(found), rows, dtype=np.int32))
-        rows += 1
-    if not rows:
-        return _Sparse(np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int32), 0)
-    return _Sparse(np.concatenate(index), np.concatenate(value), np.concatenate(row), rows)
-
-
-def _swaps(sample: pd.DataFrame) -> Iterator[tuple[list[str], list[int]]]:
-    """For each text and each group it names, the change of its words when another name stands there."""
-    place = {term: i for i, term in enumerate(IDENTITY_TERMS)}
-    for words, counts in zip(sample["words"], sample["counts"]):
-        for word, count in zip(words, counts):
-            if word in place:
-                for step in range(1, COPIES + 1):
-                    other = IDENTITY_TERMS[(place[word] + 7 * step) % len(IDENTITY_TERMS)]
-                    yield [other, word], [int(count), -int(count)]
+    return Model(float(bias), {f: float(w[i]) for f, i in numbers.features.items() if abs(w[i]) > 1e-3})
 
 
 def toxic_score(docs: DataFrame, model: Model, text: str = "text") -> Column:
