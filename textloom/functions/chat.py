@@ -64,6 +64,7 @@ def instruction_pair(prompt: Column, completion: Column) -> tuple[Column, Column
     return F.concat(head, completion), head
 
 
+# The words and marks of the translation prompts below.
 def _task_line(source_lang: Column, target_lang: Column) -> Column:
     return F.concat(
         F.lit("Translate the following text from "), source_lang, F.lit(" to "), target_lang, F.lit(".\n\n")

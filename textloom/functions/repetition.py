@@ -44,7 +44,7 @@ def rep_ngram_penalty(text: Column, n: int = WORD_ORDER, level: str = "word") ->
     elif level == "char":
         grams = char_ngrams(strip(text), n)
     else:
-        raise ValueError(f"level must be 'word' or 'char', not {level!r}")
+        raise ValueError(f"runs and grams are counted over words or characters, not over {level!r}")
     # 2n tokens make n + 1 grams.
     return let(
         grams,
@@ -75,7 +75,7 @@ def max_run_penalty(text: Column, level: str = "char") -> Column:
     elif level == "word":
         longest = _longest_equal_run(words(text))
     else:
-        raise ValueError(f"level must be 'word' or 'char', not {level!r}")
+        raise ValueError(f"runs and grams are counted over words or characters, not over {level!r}")
     return 1.0 - F.exp(-F.greatest(F.lit(0), longest - FREE_RUN) / F.lit(RUN_SCALE))
 
 

@@ -61,7 +61,7 @@ def group_softmax(
     is joined back.
     """
     if temperature <= 0:
-        raise ValueError("temperature must be > 0")
+        raise ValueError(f"a softmax needs a positive temperature; {temperature} is none")
     scaled = df.withColumn("_x", score / F.lit(float(temperature)))
     x = F.col("_x")
     finite = ~F.isnan(x) & (F.abs(x) < float("inf"))

@@ -49,7 +49,7 @@ def directions(dialects: list[str]) -> list[str]:
     return out + [f"{dialect}-{pivot}" for pivot in PIVOT_LANGUAGES for dialect in dialects]
 
 
-# Which languages or directions each task covers.
+# Which languages or directions each task covers.
 TASK_TARGETS = {
     "monolingual": DIALECTS8,
     "crosslingual": DIALECTS8,
