@@ -96,8 +96,9 @@ def _tokens(parsed: DataFrame) -> DataFrame:
 def _filed(rules: DataFrame, parsed: DataFrame) -> DataFrame:
     """Each rule under its token with the fewest URLs; ties go to the smaller token."""
     wanted = rules.select("*", F.explode("tokens").alias("token")).drop("tokens")
+    # Few tokens are rules'; with them broadcast, hot ones are counted where they are read.
     seen = (
-        _tokens(parsed).join(wanted.select("token").distinct(), "token")
+        _tokens(parsed).join(lookup(wanted.select("token").distinct(), F.octet_length("token") + 100), "token")
         .groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
     )
     counted = wanted.join(seen, "token", "left")
