@@ -100,6 +100,16 @@ def test_ownership_and_redaction(spark):
     assert texts[0] == rows[0][1] and texts[10] == f"x {REDACTED}' y {REDACTED}'" and texts[11] == f"z {REDACTED}'"
 
 
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    example, live = "password = examplevalue", "token: mine_all_mine"
+    rows = [(i, f"see {example} ok", "hot") for i in range(3000)] + [(i, f"x {live}", "hot") for i in range(3000, 3020)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = {r.doc_id: (r.n_assign, r.n_live) for r in secret_digest(docs).collect()}
+    assert counts == {i: (1, int(i >= 3000)) for i in range(3020)}
+    texts = {r.doc_id: r.text for r in without_secrets(docs).collect()}
+    assert all(texts[i] == (t if i < 3000 else f"x {REDACTED}") for i, t, _ in rows)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_url_rules(spark, seed):
     draw = random.Random(seed)

@@ -2,7 +2,8 @@
 
 Patterns propose candidates.  The hash of each candidate's value is counted over
 the whole corpus by distinct owners and distinct repositories: a value that many
-owners hold is a copied example, one that stays with few owners looks live.
+owners or many repositories hold is a copied example, one that stays with few of
+both looks live.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from textloom.llm.spans import any_case, count_of, located, written
 BASE_KINDS = ("assign", "access", "hex")
 # Values in more owners than this are widely copied examples.
 MAX_OWNERS = 3
+# So are values in more repositories than this, however few owners those have.
+MAX_REPOSITORIES = 20
 REDACTED = "[SECRET]"
 
 _ASSIGN = (
@@ -82,13 +85,13 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id",
-    max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs``: (doc_id, row_key, secrets, live).
 
     ``secrets`` as in ``candidates``; ``live`` holds those whose value stays with at
-    most ``max_owners`` owners.  Null and empty texts have none.  Rows with the same
-    id and text have the same result and each keep their row; a null id is an id.
+    most ``max_owners`` owners and ``max_repositories`` repositories.  Null and empty
+    texts have none.  Rows with the same id and text have the same result and each keep their row; a null id is an id.
     Only the named columns are read.  An empty table gives an empty table.
     """
     named = docs.select(
@@ -96,7 +99,9 @@ def scan_secrets(
         F.col(owner).alias("_owner"), F.col(repository).alias("_repository"),
     )
     found = kept(candidates(named, doc_id="_id", text="_text", also=("_owner", "_repository")), "secrets")
-    owned = ownership(found, "_owner", "_repository").filter(F.col("owners") <= max_owners)
+    owned = ownership(found, "_owner", "_repository").filter(
+        (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    )
     holders = (
         found.filter(F.size("secrets") > 0)
         .select("row_key", F.explode(F.array_distinct(F.transform("secrets", lambda s: s["digest"]))).alias("digest"))
