@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -195,3 +196,30 @@ def test_late_records_are_dropped(spark, tmp_path):
     arrive("c.jsonl", 3, "2024-01-01T09:30:00Z")
     arrive("d.jsonl", 1, "2024-01-01T10:10:00Z")
     assert sorted(r.step for r in spark.read.parquet(str(out / "rows")).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("lateness, steps, dropped", [("1 hour", [1], 2), (None, [1, 2, 3], 0)])
+def test_late_records_are_kept_or_counted(spark, tmp_path, lateness, steps, dropped):
+    source, out = tmp_path / "log", tmp_path / "out"
+    source.mkdir()
+    lost = []
+    for name, found, hour in (("new.jsonl", [1], 10), ("old.jsonl", [2, 3], 8)):
+        lines = [{"run": name, "step": s, "ts": f"2024-01-01T{hour:02}:00:00Z", "eval_loss": 1.0} for s in found]
+        (source / name).write_text("".join(json.dumps(r) + "\n" for r in lines), encoding="utf-8")
+        records = live.distinct_records(live.read_log_stream(spark, str(source)), lateness)
+        lost.append(live.drain(records, live.write_batches(str(out / "rows")), str(out / "state"), "append"))
+    assert lost == [0, dropped] and sorted(r.step for r in spark.read.parquet(str(out / "rows")).collect()) == steps
+
+
+def test_dropped_rows_of_many_batches_are_summed(spark, tmp_path):
+    source, out = tmp_path / "log", tmp_path / "out"
+    source.mkdir()
+    for i, hour in enumerate((10, 8, 7, 6, 11)):
+        line = {"run": "a", "step": i, "ts": f"2024-01-01T{hour:02}:00:00Z", "eval_loss": 1.0}
+        (source / f"{i}.jsonl").write_text(json.dumps(line) + "\n", encoding="utf-8")
+        os.utime(source / f"{i}.jsonl", (1.7e9 + i, 1.7e9 + i))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
+    records = live.distinct_records(R.metrics_long(lines))
+    # The watermark a batch is held against is that of the batch before.
+    assert live.drain(records, live.write_batches(str(out / "rows")), str(out / "state"), "append") == 2
+    assert sorted(r.step for r in spark.read.parquet(str(out / "rows")).collect()) == [0, 1, 4]

@@ -118,10 +118,10 @@ def _event_stream(spark, sf_dir):
     SELECT user_id::VARCHAR AS run, event_id AS step, event_type AS metric, value FROM events WHERE event_id % 17 <> 0
     UNION ALL SELECT user_id::VARCHAR, event_id, 'eval_k', (props->>'$.k')::DOUBLE FROM events""")
 def stream_metric_records(spark, sf_dir):
-    """Events as a stream of log lines, every line twice; each record once."""
+    """Events as a stream of log lines, every line twice; each record once, however late it comes."""
     folder = _fresh_folder(spark)
     twice = _event_stream(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
-    records = live.distinct_records(R.metrics_long(_log_lines(twice)))
+    records = live.distinct_records(R.metrics_long(_log_lines(twice)), None)
     live.drain(records, live.write_batches(f"{folder}/out"), f"{folder}/state", "append")
     return spark.read.parquet(f"{folder}/out").select("run", "step", "metric", "value")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,16 @@ def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     return metrics_long(spark.readStream.text(path))
 
 
-def distinct_records(records: DataFrame, lateness: str = "1 hour") -> DataFrame:
+def distinct_records(records: DataFrame, lateness: str | None = "1 hour") -> DataFrame:
     """Each (run, metric, step) once; a resumed run logs steps again.
 
-    State is dropped once the watermark has passed a record.
+    State is dropped once the watermark has passed a record.  In later batches Spark
+    drops every record that is older than the newest one by more than ``lateness``;
+    ``drain`` returns how many.  With None no record is dropped, in whatever order
+    files arrive, and the state holds the key of every record for good.
     """
+    if lateness is None:
+        return records.dropDuplicates(RECORD_KEYS)
     return records.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(RECORD_KEYS)
 
 
@@ -36,13 +42,33 @@ def best_so_far(records: DataFrame, modes: dict[str, str]) -> DataFrame:
     return best_final(records, modes)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    """Process all that is there now through ``foreachBatch`` and stop."""
+def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> int:
+    """Process all that is there now through ``foreachBatch`` and stop.
+
+    Returns how many rows the watermark dropped as late, by the progress metrics.
+    """
+    dropped: dict[int, int] = {}
+    started = Event()
+
+    def note() -> None:
+        for p in query.recentProgress:
+            n = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+            dropped[p["batchId"]] = max(dropped.get(p["batchId"], 0), n)
+
+    def noting(batch: DataFrame, batch_id: int) -> None:
+        # Spark keeps the progress of a hundred batches only, so they are read at each one.
+        started.wait()
+        note()
+        sink(batch, batch_id)
+
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(sink).start()
+        .trigger(availableNow=True).foreachBatch(noting).start()
     )
+    started.set()
     query.awaitTermination()
+    note()
+    return sum(dropped.values())
 
 
 def write_batches(path: str) -> Callable[[DataFrame, int], None]:
