@@ -110,6 +110,24 @@ def test_rank_all(spark, tmp_path):
     assert readers.read_csv(spark, f"{tmp_path}/out/csv").count() == 9
 
 
+def test_rank_all_leaves_what_is_not_whole(spark, tmp_path):
+    for dialect, text in (("egy", "a\nb\n"), ("syr", "a\n"), ("irq", ""), ("mor", "a\nb\n"), ("tun", "a\nb\nc\n")):
+        put(tmp_path / f"runs/base_0.5_0.7/mono/small/wiki/{dialect}.out", text)
+        if dialect != "mor":
+            put(tmp_path / f"prompts/wiki/{dialect}.csv", "prompt\np1\np2\n")
+    args = (spark, str(tmp_path / "runs"), str(tmp_path / "prompts"), str(tmp_path / "out"), with_logprobs)
+
+    def gaps():
+        return sorted((r.dialect, r.n_lines, r.n_prompts) for r in spark.read.parquet(f"{tmp_path}/out/gaps").collect())
+
+    assert sorted(r.dialect for r in batch_jobs.rank_all(*args).collect()) == ["egy", "tun"]
+    assert gaps() == [("irq", 0, 2), ("mor", 2, 0), ("syr", 1, 2), ("tun", 3, 2)]
+    put(tmp_path / "runs/base_0.5_0.7/mono/small/wiki/syr.out", "a\nb\n")
+    put(tmp_path / "prompts/wiki/mor.csv", "prompt\np1\np2\n")
+    assert sorted(r.dialect for r in batch_jobs.rank_all(*args).collect()) == ["mor", "syr"] and gaps() == [("irq", 0, 2)]
+    assert readers.read_csv(spark, f"{tmp_path}/out/csv").count() == 8
+
+
 def test_evaluate_all(spark, tmp_path):
     from textloom.sources.dims import MT_CORPORA, mt_grid
 

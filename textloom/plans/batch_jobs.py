@@ -38,7 +38,9 @@ def rank_all(
     Outputs are ``<runs>/<base>_<top_p>_<temperature>/<method>/<set>/<corpus>/<dialect>.out``,
     prompts ``<prompts>/<corpus>/<dialect>.csv``.  Rankings go to ``<out>/csv`` and the
     best lines to ``<out>/best``, in folders by corpus and dialect; ``<out>/finished``
-    lists what a later call skips.
+    lists what a later call skips.  A corpus and dialect without prompts, or with a file
+    of fewer lines than prompts, is left for a later call; ``<out>/gaps`` lists the
+    files of this call whose lines do not match their prompts.
     """
     configure(spark)
     spark.createDataFrame([], "corpus string, dialect string").write.mode("ignore").parquet(f"{out}/finished")
@@ -46,14 +48,21 @@ def rank_all(
     pattern = f"{runs}/*_*_*/{method}/{lang_set}/*/*.out"
     files = readers.list_files(spark, pattern).select("source", *_leaf(F.col("source"), "dialect"))
     todo = durable(unfinished(files, done, _WORK))
-    numbered = number_rows(todo, _WORK, [F.asc("source")], "cand_idx")
-    lines = readers.read_parallel_lines(spark, pattern).join(numbered, "source")
+    every = readers.read_parallel_lines(spark, pattern)
 
     def unit(line: str) -> Column:
         return F.concat_ws("/", *_WORK, F.format_string("%012d", F.col(line)))
 
     rows = readers.number_csv_rows(readers.require_columns(readers.read_csv(spark, f"{prompts}/*/*.csv"), ["prompt"], "prompts"))
-    asked = rows.select(*_leaf(F.col("source"), "dialect"), "line_idx", "prompt").select(unit("line_idx").alias("prompt_id"), "prompt")
+    prompted = rows.select(*_leaf(F.col("source"), "dialect"), "line_idx", "prompt")
+    n_lines = every.groupBy("source").agg((F.max("line_idx") + 1).alias("n_lines"))
+    n_prompts = prompted.groupBy(*_WORK).agg((F.max("line_idx") + 1).alias("n_prompts"))
+    counts = durable(todo.join(n_lines, "source", "left").join(n_prompts, _WORK, "left").fillna(0, ["n_lines", "n_prompts"]))
+    counts.where("n_lines <> n_prompts or n_prompts = 0").write.mode("overwrite").parquet(f"{out}/gaps")
+    short = counts.where("n_lines < n_prompts or n_prompts = 0").select(*_WORK).distinct()
+    todo = durable(todo.join(short, _WORK, "left_anti"))
+    lines = every.join(number_rows(todo, _WORK, [F.asc("source")], "cand_idx"), "source")
+    asked = prompted.select(unit("line_idx").alias("prompt_id"), "prompt")
     given = lines.select("source", "cand_idx", "completion", unit("line_idx").alias("line_idx"))
     scored = durable(add_logprobs(align_candidates(asked, given)).withColumn(
         "score_used", length_norm_score(F.col("logp_sum"), F.col("token_count"), length_norm)
