@@ -1,4 +1,4 @@
-"""The ten queries of this package and their DuckDB twins."""
+"""The queries of this package and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from textloom.llm.bpe import round_trip_digest
 from textloom.llm.common import table
 from textloom.llm.decontaminate import contamination_digest
 from textloom.llm.langid import identify_documents
+from textloom.llm.merkle import manifest_digest
 from textloom.llm.pii import pii_digest
 from textloom.llm.repeats import remove_repeats
 from textloom.llm.secrets import secret_digest
@@ -73,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_pii": twins.PII,
         "op7_secrets": twins.SECRETS,
         "op8_decontaminate": twins.DECONTAMINATE,
+        "op11_merkle": twins.MERKLE,
     }

@@ -159,3 +159,76 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
+
+
+# Fixed value: the reversed polynomial of CRC-32.
+_CRC = """crc_steps AS (
+  SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)),
+                          lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS steps
+  FROM range(256) AS bytes(b))"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, beside the one row of ``crc_steps``."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(({text})[i])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR END"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# Each level of the groups' trees and of the tree over their roots is a step of a recursion.
+MERKLE = f"""
+WITH RECURSIVE {_CRC},
+leaves AS (
+  SELECT coalesce('=' || source, '') AS grp, doc_id, sha256({_LEAF} || {_field('text')}) AS leaf,
+         sha256({_LEAF} || CASE WHEN doc_id IS NOT NULL AND {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0
+                           THEN {_field("replace(text, chr(10), '')")} ELSE {_field('text')} END) AS copy
+  FROM documents, crc_steps),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM leaves),
+trees(grp, level, place, n, digest) AS (
+  SELECT grp, 0, place, n, leaf FROM numbered
+  UNION ALL
+  SELECT grp, any_value(level) + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY place))
+  FROM trees WHERE n > 1 GROUP BY grp, place // 3),
+roots AS (
+  SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n
+  FROM trees WHERE n = 1),
+last(level, place, n, digest) AS (
+  SELECT 0, place, n, subroot FROM roots
+  UNION ALL
+  SELECT any_value(level) + 1, place // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY place))
+  FROM last WHERE n > 1 GROUP BY place // 3),
+way(own, grp, level, place, n, over) AS (
+  SELECT place, grp, 0, place, n, false FROM numbered
+  UNION ALL
+  SELECT own, w.grp, CASE WHEN w.n > 1 THEN level + 1 ELSE 0 END,
+         CASE WHEN w.n > 1 THEN w.place // 3 ELSE r.place END, CASE WHEN w.n > 1 THEN (w.n + 2) // 3 ELSE r.n END, over OR w.n = 1
+  FROM way w JOIN roots r USING (grp) WHERE w.n > 1 OR NOT over),
+stations AS (
+  SELECT w.*, CASE WHEN over THEN 1000 ELSE 0 END + level AS station FROM way w WHERE n > 1),
+steps_of AS (
+  SELECT s.grp, s.own, s.station,
+         coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (t.place < s.place), '') AS before,
+         coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (t.place > s.place), '') AS after
+  FROM stations s
+  JOIN (SELECT grp, 0 AS base, level, place, digest FROM trees UNION ALL SELECT NULL, 1000, level, place, digest FROM last) t
+    ON t.base + t.level = s.station AND t.place // 3 = s.place // 3 AND (t.base = 1000 OR t.grp = s.grp)
+  GROUP BY ALL),
+proofs AS (
+  SELECT grp, own, list(before ORDER BY station) AS b, list(after ORDER BY station) AS a,
+         string_agg(before || after, '' ORDER BY station) AS siblings
+  FROM steps_of GROUP BY ALL)
+SELECT n.doc_id, n.leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256,
+       coalesce(list_reduce(list_prepend(n.copy, list_zip(b, a).list_transform(lambda z: z[1] || ' ' || z[2])),
+                            lambda d, z: sha256(split_part(z, ' ', 1) || d || split_part(z, ' ', 2))), n.copy) AS folded_root,
+       coalesce(list_reduce(list_prepend(n.copy, list_zip(b, a).list_transform(lambda z: z[1] || ' ' || z[2])),
+                            lambda d, z: sha256(split_part(z, ' ', 1) || d || split_part(z, ' ', 2))), n.copy) = root AS verified
+FROM numbered n JOIN roots USING (grp) CROSS JOIN (SELECT digest AS root FROM last WHERE n = 1)
+LEFT JOIN proofs p ON p.grp = n.grp AND p.own = n.place
+"""
