@@ -15,6 +15,7 @@ from textloom.llm.common import table
 from textloom.llm.decontaminate import contamination_digest
 from textloom.llm.langid import identify_documents
 from textloom.llm.merkle import manifest_digest
+from textloom.llm.packing import Capacity, pack_documents
 from textloom.llm.pii import pii_digest
 from textloom.llm.repeats import remove_repeats
 from textloom.llm.secrets import secret_digest
@@ -29,6 +30,10 @@ URL_RULES = (
     UrlRule("com", "/fr/", ALLOW),
     UrlRule("com", "/de/", BLOCK),
 )
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+# Documents and attention cost are bounded by the tokens alone, so they forbid nothing and only break ties.
+SEQUENCE = Capacity(tokens=4096)
+END_ID = 1
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -78,6 +83,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, SEQUENCE, end_id=END_ID)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
