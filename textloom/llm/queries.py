@@ -21,6 +21,7 @@ from textloom.llm.repeats import remove_repeats
 from textloom.llm.secrets import secret_digest
 from textloom.llm.simhash import near_components
 from textloom.llm.toxicity import score_documents
+from textloom.llm.trie import prefix_trie
 from textloom.llm.urls import ALLOW, BLOCK, UrlRule, judge_urls
 
 URL_RULES = (
@@ -87,6 +88,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER, SEQUENCE, end_id=END_ID)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -98,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secrets": twins.SECRETS,
         "op8_decontaminate": twins.DECONTAMINATE,
         "op11_merkle": twins.MERKLE,
+        "op13_prefix_trie": twins.PREFIX_TRIE,
     }

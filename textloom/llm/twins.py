@@ -232,3 +232,40 @@ SELECT n.doc_id, n.leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_
 FROM numbered n JOIN roots USING (grp) CROSS JOIN (SELECT digest AS root FROM last WHERE n = 1)
 LEFT JOIN proofs p ON p.grp = n.grp AND p.own = n.place
 """
+
+PREFIX_TRIE = f"""
+WITH {_CRC},
+named AS (
+  SELECT conv_id, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM named),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_steps),
+rebuilt AS (
+  SELECT c.conv_id, pos, id, words FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, pos, id, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+rows_of AS (
+  SELECT conv_id, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []) AS ids, list(words ORDER BY pos) FILTER (id IS NOT NULL) AS words
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+starts AS (SELECT *, unnest(range(0, len(ids) + 1)) AS depth FROM rows_of),
+nodes AS (
+  SELECT depth, CASE WHEN depth > 0 THEN array_to_string(ids[1:depth], '') ELSE '' END AS key, min(conv_id) AS conv_id,
+         count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN words[depth] ELSE 0 END) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ids) = depth), '')) AS ends_sha256
+  FROM starts GROUP BY ALL),
+family AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n, 0) AS n_children
+  FROM nodes n
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = left(n.key, 64 * (n.depth - 1))
+  LEFT JOIN (SELECT depth - 1 AS depth, left(key, 64 * (depth - 1)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL) c
+    ON c.depth = n.depth AND c.key = n.key),
+upward AS (
+  SELECT unnest(range(0, depth + 1)) AS above, key, (n_children = 0)::BIGINT AS leaf, (n_convs - 1) * words AS saved FROM family),
+subtrees AS (
+  SELECT above AS depth, left(key, 64 * above) AS key, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM upward GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM family JOIN subtrees USING (depth, key)
+"""
