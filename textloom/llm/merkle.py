@@ -187,8 +187,8 @@ def manifest(
     leaves = numbered(rows, [*by, F.asc("digest")]).drop(*[f"_o{i}" for i in range(len(order))])
     trees = Tree(leaves, arity, names)
     tops = kept(trees.tops(), "merkle-tops")
-    # The trees' roots are the leaves of the last tree, whose only group is the empty text.
-    roots = numbered(tops.select(F.lit("").alias("grp"), F.col("grp").alias("_of"), "depth", "digest"), [F.asc("_of")])
+    # The trees' roots are the leaves of the last tree, whose only group is the empty text (a column, so that joins keep their key).
+    roots = numbered(tops.select(F.substring("grp", 1, 0).alias("grp"), F.col("grp").alias("_of"), "depth", "digest"), [F.asc("_of")])
     last = Tree(roots, arity, ["_of", "depth"])
     end = last.tops().withColumn("proof", F.array().cast(_PROOF)).withColumnRenamed("digest", "root")
     over = kept(
