@@ -169,19 +169,6 @@ def test_log_stream_equals_batch(spark, tmp_path):
     assert key(newest) == key(R.best_final(batch, MODES))
 
 
-def test_arriving_files_are_scored_once(spark, tmp_path):
-    source = tmp_path / "outputs"
-    source.mkdir()
-    (source / "one.out").write_text("fine text here\n\naaaaaaaaaaaa\n", encoding="utf-8")
-    for name in (None, "two.out"):
-        if name:
-            (source / name).write_text("second file\n", encoding="utf-8")
-        live.score_arriving_files(spark, str(source), str(tmp_path / "scored"), str(tmp_path / "state"))
-    rows = spark.read.parquet(str(tmp_path / "scored")).collect()
-    assert sorted(r.completion for r in rows) == ["aaaaaaaaaaaa", "fine text here", "second file"]
-    assert max(r.word_rep_penalty for r in rows) > 0.6
-
-
 def test_late_records_are_dropped(spark, tmp_path):
     source, out = tmp_path / "log", tmp_path / "out"
     source.mkdir()

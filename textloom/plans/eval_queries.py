@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays
@@ -10,10 +12,13 @@ from textloom.operators import fidelity as D
 from textloom.operators import overlap as O
 from textloom.operators.reports import macro_score, mt_report
 from textloom.operators.runlog import average_lengths
+from textloom.operators.slices import number_rows
 from textloom.plans import twins as T
 from textloom.plans.fixtures import edited_documents, r6, table
 from textloom.plans.registry import query
+from textloom.session import shared_folder
 from textloom.sources import dims
+from textloom.streaming import live
 
 ALLOWED = {"eng": ["en", "de"], "rom": ["fr", "es"]}
 _ALLOWED_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in ALLOWED.items() for c in cs) + ") AS ok(t, c)"
@@ -259,7 +264,7 @@ _FIDELITY = f"""
                    LEFT JOIN {_ALLOWED_SQL} ON ok.t = target_lang AND ok.c = label[10:12]))"""
 
 
-def _fidelity_rows(spark, sf_dir):
+def _classed_documents(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     n = vectors.count()
     slot = F.substring("source", 4, 9).cast("int") % 7
@@ -271,7 +276,11 @@ def _fidelity_rows(spark, sf_dir):
         F.get(F.array(*[F.lit(c) for _, c in _SETS]), slot).alias("corpus"),
         (F.col("doc_id") % n).alias("vec_id"),
     )
-    return D.fidelity_rows(docs.join(vectors, "vec_id"), allowed=ALLOWED)
+    return docs.join(vectors, "vec_id")
+
+
+def _fidelity_rows(spark, sf_dir):
+    return D.fidelity_rows(_classed_documents(spark, sf_dir), allowed=ALLOWED)
 
 
 _METRICS_SQL = ", ".join(f"{T.r6(f'coalesce(avg({m}), 0)')} AS {m}" for m in D.METRICS)
@@ -325,6 +334,38 @@ def report_leftovers(spark, sf_dir):
     return D.report_leftovers(_fidelity_rows(spark, sf_dir))
 
 
+# Documents as output files of so many lines each, ordered by id.
+_FILE_LINES = 1000
+
+
+@query("stream_scored_lines", f"""
+    WITH {_FIDELITY},
+    placed AS (SELECT doc_id, doc_id // {_FILE_LINES} AS file,
+                      row_number() OVER (PARTITION BY doc_id // {_FILE_LINES} ORDER BY doc_id) - 1 AS line_idx,
+                      replace(text, chr(10), ' ') AS line FROM docs),
+    {T.repetition('placed', 'doc_id', 'line', 'reps')}
+    SELECT file::VARCHAR AS file, line_idx, trim(line) = '' AS blank,
+           {T.r6('greatest(w4, c8, run)')} AS word_rep_penalty, {T.r6('greatest(rep, loop)')} AS sent_rep_penalty,
+           {T.r6('score')} AS score, {T.r6('macro_score')} AS macro_score
+    FROM placed JOIN reps USING (doc_id) JOIN rows USING (doc_id)""")
+def stream_scored_lines(spark, sf_dir):
+    """Documents written as output files, then scored as a stream of their lines that joins the models' numbers by line number."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _classed_documents(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / _FILE_LINES).cast("string"))
+    lines = docs.select("file", "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(f"{folder}/outputs")
+    numbers = number_rows(docs.drop("text"), ["file"], [F.asc("doc_id")], "line_idx").withColumn("line_idx", F.col("line_idx") - 1)
+
+    def classes(arrived):
+        placed = arrived.withColumn("file", F.regexp_extract("source", "file=([0-9]+)/", 1))
+        return placed.join(numbers, ["file", "line_idx"])
+
+    live.score_arriving_files(spark, f"{folder}/outputs", f"{folder}/scored", f"{folder}/state", classes, suffix=".txt", allowed=ALLOWED)
+    return spark.read.parquet(f"{folder}/scored/lines").select(
+        "file", "line_idx", "blank", *[r6(c).alias(c) for c in ("word_rep_penalty", "sent_rep_penalty", "score", "macro_score")]
+    )
+
+
 @query("manifest_mismatch", """
     WITH listed AS (SELECT source || '.out' AS source, min(lang) AS dialect FROM documents WHERE doc_id % 5 <> 0 GROUP BY ALL
                     UNION ALL SELECT 'gone' || item_id, 'nowhere' FROM benchmark),

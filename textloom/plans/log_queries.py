@@ -11,7 +11,7 @@ from textloom.plans import twins as T
 from textloom.plans.fixtures import metric_log, r6, table
 from textloom.plans.registry import query
 from textloom.session import shared_folder
-from textloom.sources.readers import line_text
+from textloom.sources.readers import line_text, spread
 from textloom.functions.repetition import with_repetition
 from textloom.streaming import live
 
@@ -149,7 +149,8 @@ def stream_word_repetition(spark, sf_dir):
     texts = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet").select("doc_id", "text")
 
     def sink(batch, batch_id):
-        scored = with_repetition(batch.withColumn("completion", line_text(F.col("text"))))
+        # A file of few row groups is read by few tasks.
+        scored = with_repetition(spread(batch, "doc_id").withColumn("completion", line_text(F.col("text"))))
         live.write_batches(f"{folder}/out")(scored.drop("text", "completion"), batch_id)
 
     live.drain(texts, sink, f"{folder}/state", "append")

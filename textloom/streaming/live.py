@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.repetition import with_repetition
+from textloom.operators.fidelity import fidelity_rows
 from textloom.operators.runlog import best_final, metrics_long
 from textloom.sources.readers import line_text
+from textloom.streaming.byte_lines import LEAST_BYTES, MOST_BYTES, line_counts, number_arrived, read_line_stream
 
 RECORD_KEYS = ["run", "metric", "step"]
 
@@ -89,14 +91,29 @@ def newest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     ).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def score_arriving_files(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
-    """Score each output file once; the checkpoint remembers what was read."""
-    lines = spark.readStream.option("lineSep", "\n").text(path).select(
-        F.input_file_name().alias("source"), line_text(F.col("value")).alias("completion")
-    )
+def score_arriving_files(
+    spark: SparkSession, path: str, out: str, checkpoint: str, add_classes: Callable[[DataFrame], DataFrame] | None = None, *,
+    suffix: str = "", growing: bool = False, require_target_lang: bool = True, allow_msa: bool = False, allowed: dict | None = None,
+    least_bytes: int = LEAST_BYTES, most_bytes: int = MOST_BYTES,
+) -> None:
+    """Score every line of the output files below a folder once; the checkpoint remembers the bytes that were read.
+
+    ``<out>/lines`` gets ``source, line_idx, completion, blank`` and both repetition
+    penalties, a row for blank lines too, so the rows join to prompts by ``line_idx``.
+    With ``add_classes``, which adds ``code, target_lang, dialect, logits, dialectness`` of
+    the models to ``source, line_idx, text``, also the four fidelity numbers.  A batch
+    that is run again after a failure replaces what it wrote.
+    """
+    lines = read_line_stream(spark, path, suffix, growing=growing, least_bytes=least_bytes, most_bytes=most_bytes)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = with_repetition(batch.where(F.col("completion") != ""))
-        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        line_counts(batch).write.mode("overwrite").parquet(f"{out}/blocks/batch={batch_id}")
+        counts = spark.read.option("basePath", f"{out}/blocks").parquet(f"{out}/blocks").where(F.col("batch") <= batch_id)
+        texts = number_arrived(batch, counts).select("source", "line_idx", line_text(F.col("line")).alias("completion"))
+        scored = with_repetition(texts).withColumn("blank", F.col("completion") == "")
+        if add_classes is not None:
+            classed = add_classes(scored.withColumn("text", F.col("completion")))
+            scored = fidelity_rows(classed, require_target_lang, allow_msa, allowed).drop("text")
+        scored.write.mode("overwrite").parquet(f"{out}/lines/batch={batch_id}")
 
     drain(lines, sink, checkpoint, "append")
