@@ -12,14 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +28,18 @@ from textloom.llm.common import kept, small_batches, whole
 SHARD_PIECES = 1 << 14
 # A word of more characters is encoded, but not remembered.
 _CACHED_CHARS = 64
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 600_000
 # Sequences with no room for the shortest piece leave the matrix after so many placements.
 _COMPACT_EVERY = 256
 _SHARD_BITS = 32
 RULES = ("residual", "dot")
 # ASCII without "<", which may begin a special token, and letters that composing and lower-casing leave one letter.
-_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]+").fullmatch
+_PLAIN_TEXT = re.compile("[\t\n\r !-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]*").fullmatch
+_WORDS = re.compile("[^ \t\n\r]+").findall
+# Fixed value: the pattern that tokenizers of this kind are published with.
+_KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same for plain text in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+|[0-9]|[^\\s0-9a-z\u00df-\u00f6\u00f8-\u00ff\u0153]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -122,9 +125,9 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins what white space parts.
 
     So each different word is encoded once; the ids of a text are those of its words.
-    A word of plain letters, digits and marks needs none of the library's Unicode
-    normalising: if the tokenizer is defined by the usual steps, it is lower-cased and
-    cut here, and only its parts go through the library's model.
+    Plain letters, digits and marks need none of the library's Unicode normalising: if
+    the tokenizer is defined by the steps expected here, they are lower-cased and cut by an
+    equal pattern, and only the different parts go through the library's model.
     """
 
     def __init__(self, definition: str):
@@ -133,59 +136,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = Tokenizer(self.tokenizer.model)
-        self.parts = _part_finder(json.loads(definition))
-        self.words = re.compile("[^ \t\n\r]+").findall
+        self.direct = _has_known_steps(json.loads(definition))
+        # By part, or by a word the library must see whole, which has a newline before it.
         self.known: dict[str, bytes] = {}
-        self.coded: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN(w)] if self.parts else []
-        # Letters alone are one part.
-        cut = [[w.lower()] if w.isalpha() else self.parts(w.lower()) for w in plain]
-        new = list(set().union(*cut).difference(self.coded))
-        if len(self.coded) + len(new) > _CACHED_WORDS:
-            self.coded.clear()
-            new = list(set().union(*cut))
-        as_bytes = [part.encode().decode("latin-1").translate(_BYTE_LETTERS) for part in new]
-        for part, found in zip(new, self.model.encode_batch_fast(as_bytes, add_special_tokens=False)):
-            self.coded[part] = _packed_ids(found.ids)
-        coded = self.coded
-        for word, parts in zip(plain, cut):
-            self.known[word] = b"".join([coded[p] for p in parts])
-        other = set(words).difference(plain) if plain else words
-        for word, found in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)):
-            self.known[word] = _packed_ids(found.ids)
+
+    def cut(self, text: str) -> list[str]:
+        if self.direct and _PLAIN_TEXT(text):
+            return _PARTS(text.lower())
+        out: list[str] = []
+        for word in _WORDS(text):
+            if self.direct and _PLAIN_TEXT(word):
+                out += _PARTS(word.lower())
+            else:
+                out.append("\n" + word)
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        parts = [p for p in new if p[0] != "\n"]
+        words = [w[1:] for w in new if w[0] == "\n"]
+        if parts:
+            letters = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in parts]
+            found = self.model.encode(letters, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            cuts = np.searchsorted(np.array(found.word_ids), np.arange(len(parts) + 1)).tolist()
+            self.known.update((part, raw[4 * a:4 * b]) for part, a, b in zip(parts, cuts, cuts[1:]))
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known["\n" + word] = np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.words(text) for text in texts]
+        cut = [self.cut(text) for text in texts]
         new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > _CACHED_WORDS:
             self.known.clear()
             new = set().union(*cut)
         self.learn(list(new))
         known = self.known
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        for word in new:
-            if len(word) > _CACHED_CHARS:
-                del known[word]
+        out = [b"".join([known[key] for key in keys]) for keys in cut]
+        for key in new:
+            if len(key) > _CACHED_CHARS:
+                del known[key]
         return out
 
 
-def _packed_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def _part_finder(definition: dict):
-    """What cuts a plain lower-cased word as the tokenizer would; None if its steps are others than expected."""
+def _has_known_steps(definition: dict) -> bool:
+    """Whether the tokenizer cuts plain text as ``_PARTS`` cuts its lower case."""
     steps = (definition.get("normalizer") or {}).get("normalizers", [])
     cuts = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])
     if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
-        return None
+        return False
     split, level = cuts
-    if (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
-        return None
-    return regex.compile(split["pattern"]["Regex"]).findall
+    shape = (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"])
+    return shape == ("Removed", True, False, False) and split["pattern"] == {"Regex": _KNOWN_PATTERN}
 
 
 def token_pieces(
