@@ -203,6 +203,8 @@ def read_line_stream(
     own log of files does.  Paths are local, or of a store that pyarrow can open.
     """
     spark.dataSource.register(ByteLines)
+    # Else a run over what is there now stops after one batch, which may be an old one that had failed.
+    spark.conf.set("spark.sql.streaming.triggerAvailableNowWrapper.enabled", "true")
     return (
         spark.readStream.format("byte_lines").option("path", path).option("suffix", suffix).option("growing", str(growing).lower())
         .option("tasks", 4 * spark.sparkContext.defaultParallelism).option("leastbytes", least_bytes).option("mostbytes", most_bytes).load()
