@@ -14,6 +14,7 @@ from textloom.session import shared_folder
 from textloom.sources.readers import line_text, spread
 from textloom.functions.repetition import with_repetition
 from textloom.streaming import live
+from textloom.streaming.metric_state import follow_metrics, improvements, late_records, metric_records, track_metrics
 
 MODES = {"view": "min", "click": "max", "purchase": "max"}
 _LOG = """
@@ -28,13 +29,13 @@ _BEST = f"""
     FROM tracked GROUP BY run, metric, mode"""
 
 
-def _log_lines(events, odd=False):
+def _log_lines(events, odd=False, carried=()):
     """Events as the JSON lines a training run appends; ``odd``: some steps as floats, some times unreadable."""
     step, time = F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if odd:
         step = F.when(F.col("event_id") % 19 == 0, F.concat(step, F.lit(".0"))).otherwise(step)
         time = F.when(F.col("event_id") % 23 == 0, "n/a").otherwise(time)
-    return events.select(F.concat(
+    return events.select(*carried, F.concat(
         F.lit('{"run":"'), F.col("user_id"), F.lit('","step":'), step, F.lit(',"ts":"'),
         time, F.lit('","'), F.col("event_type"), F.lit('":'),
         F.when(F.col("event_id") % 17 == 0, F.lit("NaN")).otherwise(F.col("value").cast("string")),
@@ -138,6 +139,45 @@ def stream_best_metric(spark, sf_dir):
     return live.newest_per_key(spark, f"{folder}/out", ["run", "metric", "mode"])
 
 
+# Seconds after which a record is late, and the share of events that come first.
+_LATE_SECONDS = 86_400
+_TIMED = f"""
+    {_LOG},
+    lines AS (SELECT user_id::VARCHAR AS run, event_id AS step, event_type AS metric, value, ts FROM events WHERE event_id % 17 <> 0
+              UNION ALL SELECT user_id::VARCHAR, event_id, 'eval_k', (props->>'$.k')::DOUBLE, ts FROM events),
+    kinds AS (SELECT *, CASE WHEN step % 10 >= 7 AND ts < (
+                  SELECT max(ts) FROM lines WHERE step % 10 < 7) - INTERVAL {_LATE_SECONDS} SECOND THEN 'late' ELSE 'record' END AS kind FROM lines)"""
+
+
+def _followed_events(spark, sf_dir):
+    """Events as lines of a log, each twice: seven tenths of them first, the rest after a restart."""
+    folder = _fresh_folder(spark)
+    lines = _log_lines(table(spark, sf_dir, "events").withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))), carried=["event_id"])
+    for early in (True, False):
+        part = lines.where((F.col("event_id") % 10 < 7) == early).select("value")
+        part.write.mode("append").text(f"{folder}/log")
+        tracked = track_metrics(live.read_log_stream(spark, f"{folder}/log"), MODES, lateness_seconds=_LATE_SECONDS, keep_seconds=7 * _LATE_SECONDS)
+        follow_metrics(tracked, f"{folder}/out", f"{folder}/state")
+    return f"{folder}/out"
+
+
+@query("stream_metric_state", f"""
+    WITH {_TIMED} SELECT kind, run, step, metric, value FROM kinds UNION ALL
+    SELECT 'improved', run, step, metric, value FROM (
+        SELECT *, min(cost) OVER (PARTITION BY run, metric ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+        FROM (SELECT *, CASE WHEN metric = 'view' THEN value ELSE -value END AS cost FROM kinds
+              WHERE kind = 'record' AND metric IN ('view', 'click', 'purchase'))) WHERE best IS NULL OR cost < best""")
+def stream_metric_state(spark, sf_dir):
+    """What the state of a growing log gives: records once, late ones held apart, strict improvements."""
+    out = _followed_events(spark, sf_dir)
+    found = {
+        "record": metric_records(spark, out), "late": late_records(spark, out).dropDuplicates(live.RECORD_KEYS),
+        "improved": improvements(spark, out, MODES),
+    }
+    parts = [rows.select(F.lit(kind).alias("kind"), "run", "step", "metric", "value") for kind, rows in found.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @query("stream_word_repetition", f"""
     WITH {T.repetition('documents', 'doc_id', 'text', 'reps')}
     SELECT doc_id, {T.r6('greatest(w4, c8, run)')} AS word_rep_penalty, {T.r6('greatest(rep, loop)')} AS sent_rep_penalty
