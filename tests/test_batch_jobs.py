@@ -134,10 +134,13 @@ def test_evaluate_all(spark, tmp_path):
     corpus, direction = MT_CORPORA[0], mt_grid(spark).first().direction
     put(tmp_path / f"h/{corpus}/{direction}.out", "the cat sat\na dog\nextra\n")
     put(tmp_path / f"r/{corpus}/{direction}.csv", "completion\nthe cat sat\na dog\n")
-    report, unpaired = batch_jobs.evaluate_all_translations(spark, str(tmp_path / "h"), str(tmp_path / "r"))
+    put(tmp_path / f"h/{corpus}/xxx-yyy.out", "a\nb\n")
+    put(tmp_path / f"r/{corpus}/xxx-yyy.csv", "completion\na\nb\n")
+    report, unpaired, left = batch_jobs.evaluate_all_translations(spark, str(tmp_path / "h"), str(tmp_path / "r"))
     rows = {(r.corpus, r.direction): r for r in report.collect()}
     assert rows[(corpus, direction)].n == 2 and rows[(corpus, direction)].chrf == pytest.approx(100.0)
     assert sum(r.n for r in rows.values()) == 2 and [tuple(r) for r in unpaired.collect()] == [(corpus, direction, 1)]
+    assert [tuple(r) for r in left.collect()] == [(corpus, "xxx-yyy", 2)]
 
 
 def test_report_fidelity(spark, tmp_path):

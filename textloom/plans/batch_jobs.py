@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from textloom.operators.reports import mt_report, unfinished
 from textloom.operators.slices import number_rows
 from textloom.session import configure, durable
 from textloom.sources import readers, writers
+from textloom.sources.commits import SIGNATURE, Outputs
+from textloom.sources.dims import mt_grid
 
 # <corpus>/<name>.<suffix> at the end of a path
 _LEAF = r"([^/]+)/([^/]+)\.[A-Za-z0-9]+$"
@@ -37,17 +40,22 @@ def rank_all(
 
     Outputs are ``<runs>/<base>_<top_p>_<temperature>/<method>/<set>/<corpus>/<dialect>.out``,
     prompts ``<prompts>/<corpus>/<dialect>.csv``.  Rankings go to ``<out>/csv`` and the
-    best lines to ``<out>/best``, in folders by corpus and dialect; ``<out>/finished``
-    lists what a later call skips.  A corpus and dialect without prompts, or with a file
-    of fewer lines than prompts, is left for a later call; ``<out>/gaps`` lists the
-    files of this call whose lines do not match their prompts.
+    best lines to ``<out>/best``, in folders by corpus and dialect; both and the list of
+    what is done (``<out>/commits``) count together or not at all, whenever the job stops.
+    A later call skips what is done as long as its files keep their length and time, and
+    ranks it again, in place of the old ranking, if one has changed or come.  A corpus and
+    dialect without prompts, or with a file of fewer lines than prompts, is left for a later
+    call; ``<out>/gaps`` lists the files of this call whose lines do not match their prompts.
     """
     configure(spark)
-    spark.createDataFrame([], "corpus string, dialect string").write.mode("ignore").parquet(f"{out}/finished")
-    done = spark.read.parquet(f"{out}/finished")
+    outputs = Outputs(spark, out, _WORK, ["csv", "best", "gaps"], ["csv", "best"])
+    job = outputs.begin()
     pattern = f"{runs}/*_*_*/{method}/{lang_set}/*/*.out"
     files = readers.list_files(spark, pattern).select("source", *_leaf(F.col("source"), "dialect"))
-    todo = durable(unfinished(files, done, _WORK))
+    states = readers.file_states(spark, pattern).unionByName(readers.file_states(spark, f"{prompts}/*/*.csv"))
+    state = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "state"))), "\n"), 256)
+    signed = states.select(*_leaf(F.col("source"), "dialect"), "source", "state").groupBy(*_WORK).agg(state.alias(SIGNATURE))
+    todo = durable(unfinished(files.join(signed, _WORK), outputs.committed(), [*_WORK, SIGNATURE]))
     every = readers.read_parallel_lines(spark, pattern)
 
     def unit(line: str) -> Column:
@@ -58,7 +66,7 @@ def rank_all(
     n_lines = every.groupBy("source").agg((F.max("line_idx") + 1).alias("n_lines"))
     n_prompts = prompted.groupBy(*_WORK).agg((F.max("line_idx") + 1).alias("n_prompts"))
     counts = durable(todo.join(n_lines, "source", "left").join(n_prompts, _WORK, "left").fillna(0, ["n_lines", "n_prompts"]))
-    counts.where("n_lines <> n_prompts or n_prompts = 0").write.mode("overwrite").parquet(f"{out}/gaps")
+    counts.where("n_lines <> n_prompts or n_prompts = 0").drop(SIGNATURE).write.parquet(outputs.staged(job, "gaps"))
     short = counts.where("n_lines < n_prompts or n_prompts = 0").select(*_WORK).distinct()
     todo = durable(todo.join(short, _WORK, "left_anti"))
     lines = every.join(number_rows(todo, _WORK, [F.asc("source")], "cand_idx"), "source")
@@ -72,23 +80,25 @@ def rank_all(
     named = durable(ranked.withColumns({"corpus": parts[0], "dialect": parts[1], "prompt_id": parts[2].cast("bigint")}))
     in_order = named.repartitionByRange(*_WORK, "prompt_id", "rank_by_risk").sortWithinPartitions(*_WORK, "prompt_id", "rank_by_risk")
     table = writers.ranked_rows(in_order, _WORK)
-    table.write.mode("append").partitionBy(*_WORK).option("header", True).option("quote", '"').option("escape", '"').csv(f"{out}/csv")
+    table.write.partitionBy(*_WORK).option("header", True).option("quote", '"').option("escape", '"').csv(outputs.staged(job, "csv"))
     best = in_order.where("rank_by_risk = 1").select(*_WORK, F.concat_ws(
         "\t", F.col("prompt_id").cast("string"), writers.escape_newlines(F.col("completion"))
     ).alias("value"))
-    best.write.mode("append").partitionBy(*_WORK).text(f"{out}/best")
-    finished = durable(todo.select(*_WORK).distinct())
-    finished.write.mode("append").parquet(f"{out}/finished")
-    return finished
+    best.write.partitionBy(*_WORK).text(outputs.staged(job, "best"))
+    finished = durable(todo.select(*_WORK, SIGNATURE).distinct())
+    outputs.commit(job, finished)
+    outputs.publish(job)
+    return finished.select(*_WORK)
 
 
 def evaluate_all_translations(
     spark: SparkSession, hyps: str, refs: str, ref_field: str = "completion", tokens: Callable[[Column], Column] = words,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The translation report of ``<hyps>/<corpus>/<direction>.out`` against ``<refs>/<corpus>/<direction>.csv``.
 
     The second table counts, by corpus and direction, lines without a partner; they
-    are not scored.
+    are not scored.  The third counts paired lines of a corpus or direction that the
+    report does not hold.
     """
     configure(spark)
     keys = ["corpus", "direction", "line_idx"]
@@ -100,7 +110,8 @@ def evaluate_all_translations(
     pairs = durable(pair_lines(given, wanted, keys))
     split = pairs.where(~F.col("mismatch")).withColumns({"hyp_tokens": tokens(F.col("hyp")), "ref_tokens": tokens(F.col("ref"))})
     unpaired = pairs.where("mismatch").groupBy("corpus", "direction").agg(F.count(F.lit(1)).alias("n"))
-    return mt_report(split), unpaired
+    left = split.groupBy("corpus", "direction").agg(F.count(F.lit(1)).alias("n")).join(mt_grid(spark), ["corpus", "direction"], "left_anti")
+    return mt_report(split), unpaired, left
 
 
 def report_fidelity(
@@ -139,10 +150,19 @@ def mix_from_plan(spark: SparkSession, plan_path: str, out: str, *, seed: int, l
 
     Each dataset is a tokenized set as ``prepare_training_set`` writes it.  Rows go to
     ``<out>/rows`` by part and evaluation group, with ``pos`` as their place in the
-    shuffled order of their part; the summary goes to ``<out>/summary``.
+    shuffled order of their part; the summary goes to ``<out>/summary``.  Both appear
+    together; a call that stopped is made good by the next one, and a call after a whole
+    one with the same plan, seed and datasets only returns its summary.
     """
     configure(spark)
     entries = read_plan(spark, plan_path)
+    outputs = Outputs(spark, out, ["mix"], ["rows", "summary"], [])
+    job = outputs.begin()
+    states = reduce(DataFrame.unionByName, [readers.file_states(spark, f"{e.path}/rows/*/*.parquet") for e in entries])
+    inputs = states.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "state"))), "\n"), 256)).first()[0]
+    unit = spark.createDataFrame([("mix", f"{inputs} {entries} {seed} {leak_safe}")], f"mix string, {SIGNATURE} string")
+    if unit.join(outputs.committed(), ["mix", SIGNATURE], "left_anti").isEmpty():
+        return spark.read.parquet(f"{out}/summary")
     key = ["source", "row_id"]
     parts = [
         readers.require_columns(readers.read_tokenized(spark, f"{e.path}/rows", e.split), key, e.name).withColumn("name", F.lit(e.name))
@@ -154,6 +174,8 @@ def mix_from_plan(spark: SparkSession, plan_path: str, out: str, *, seed: int, l
     mixed = durable(dataset_mix(data, plan, key, [F.col(k) for k in key], seed, leak_safe))
     place = F.concat_ws(":", "name", *[F.col(k).cast("string") for k in key], F.col("copy").cast("string"), "part")
     shuffled = seeded_shuffle(mixed, place, seed)
-    shuffled.write.partitionBy("part").parquet(f"{out}/rows")
-    mix_summary(mixed, plan).write.parquet(f"{out}/summary")
+    shuffled.write.partitionBy("part").parquet(outputs.staged(job, "rows"))
+    mix_summary(mixed, plan).write.parquet(outputs.staged(job, "summary"))
+    outputs.commit(job, unit)
+    outputs.publish(job)
     return spark.read.parquet(f"{out}/summary")

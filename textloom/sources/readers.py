@@ -157,6 +157,13 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.createDataFrame(list(place.items()), "source string, place int")
 
 
+def file_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``source, state`` of the files, empty ones too: length and time of change, without reading them."""
+    return spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("source"), F.concat_ws(":", "length", F.unix_micros("modificationTime")).alias("state")
+    )
+
+
 def read_parallel_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``source, line_idx, completion`` of output files, text or JSON lines."""
     lines = read_lines(spark, path)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import escape_newlines
+from textloom.sources.commits import Files
 
 # Columns of the ranked table in output order.
 RANKED_COLUMNS = [
@@ -69,7 +72,20 @@ def write_tokenized(df: DataFrame, path: str, settings: dict, mode: str = "error
     one_row.coalesce(1).write.mode(mode).text(f"{path}/settings")
 
 
-def append_metrics(records: DataFrame, path: str) -> None:
-    """Append metric records as JSON lines with the UTC time of writing."""
+def append_metrics(records: DataFrame, path: str, job: str | None = None) -> bool:
+    """Append metric records as JSON lines with the UTC time of writing; returns whether they were written.
+
+    The records appear together, by one rename.  Under the same ``job`` (letters, digits,
+    dots, dashes) they are written once, however often a failed call is repeated.
+    """
+    if job is not None and not re.fullmatch("[A-Za-z0-9.-]+", job):
+        raise ValueError(f"a job's name has letters, digits, dots and dashes only, unlike {job!r}")
+    files, name = Files(records.sparkSession, path), job or uuid.uuid4().hex
+    target = f"{path.rstrip('/')}/job={name}"
+    if files.exists(target):
+        return False
+    staged = f"{path.rstrip('/')}/_staged/{name}-{uuid.uuid4().hex}"
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    records.withColumn("ts", stamp).write.mode("append").json(path)
+    records.withColumn("ts", stamp).write.json(staged)
+    files.rename(staged, target)
+    return True

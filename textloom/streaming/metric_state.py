@@ -42,7 +42,7 @@ class MetricState(StatefulProcessor):
         self.seen = handle.getValueState("seen", _STATE)
 
     def _load(self) -> tuple[np.ndarray, np.ndarray, int, int]:
-        state = self.seen.get() if self.seen.exists() else None
+        state = self.seen.get()
         if state is None:
             return np.empty(0, dtype=np.int64), np.empty(0), _NONE, _NONE
         return np.frombuffer(bytes(state[0]), dtype=np.int64), np.frombuffer(bytes(state[1])), int(state[2]), int(state[3])
@@ -55,33 +55,38 @@ class MetricState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, metric, _ = key
-        new = pd.concat(list(rows), ignore_index=True)[["step", "at", "value"]]
+        frames = list(rows)
+        step, at, value = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("step", "at", "value"))
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        is_late = (new["at"] < watermark) & (new["at"] != _NONE) if watermark > 0 else pd.Series(False, index=new.index)
-        yield self._named(LATE, run, metric, new[is_late])
-        new = new[~is_late]
+        late = (at < watermark) & (at != _NONE) if watermark > 0 else np.zeros(len(at), dtype=bool)
         # A record without a step cannot be told from another one, so each goes out.
-        yield self._named(RECORD, run, metric, new[new["step"] == _NONE])
-        new = new[new["step"] != _NONE].sort_values(["step", "at", "value"], kind="stable").drop_duplicates("step")
-        if new.empty:
-            return
+        alone = ~late & (step == _NONE)
+        order = np.lexsort((value, at, step))
+        order = order[~late[order] & ~alone[order]]
+        order = order[np.diff(step[order], prepend=_NONE) != 0]
         steps, costs, last, timer = self._load()
-        new = new[~np.isin(new["step"].to_numpy(), steps)]
-        sign = {"min": 1.0, "max": -1.0}.get(self.modes.get(metric))
-        cost = new["value"].to_numpy() * (sign or np.nan)
-        every, all_costs = np.concatenate([steps, new["step"].to_numpy()]), np.concatenate([costs, cost])
-        order = np.argsort(every, kind="stable")
-        lowest = np.minimum.accumulate(np.concatenate([[np.inf], all_costs[order]]))[:-1]
-        first = np.arange(len(order)) == 0
-        beats = np.empty(len(order), dtype=bool)
-        beats[order] = (all_costs[order] < lowest) | first
-        yield self._named(RECORD, run, metric, new)
-        if sign is not None:
-            yield self._named(LOW, run, metric, new[beats[len(steps):]])
-        known = new["at"][new["at"] != _NONE]
-        if len(known):
-            last = max(last, int(known.max()) // 1000)
-        self._store(every[order], all_costs[order], last, timer, timerValues)
+        order = order[~np.isin(step[order], steps)]
+        low = order[:0]
+        if len(order):
+            sign = {"min": 1.0, "max": -1.0}.get(self.modes.get(metric))
+            every, all_costs = np.concatenate([steps, step[order]]), np.concatenate([costs, value[order] * (sign or np.nan)])
+            by_step = np.argsort(every, kind="stable")
+            # A key's first step beats nothing and counts, whatever its value.
+            before = np.minimum.accumulate(np.concatenate([[np.inf], all_costs[by_step]]))[:-1]
+            beats = np.empty(len(every), dtype=bool)
+            beats[by_step] = (all_costs[by_step] < before) | (np.arange(len(every)) == 0)
+            if sign is not None:
+                low = order[beats[len(steps):]]
+            known = at[order][at[order] != _NONE]
+            if len(known):
+                last = max(last, int(known.max()) // 1000)
+            self._store(every[by_step], all_costs[by_step], last, timer, timerValues)
+        parts = [(LATE, np.flatnonzero(late)), (RECORD, np.flatnonzero(alone)), (RECORD, order), (LOW, low)]
+        rows_out = np.concatenate([index for _, index in parts])
+        yield pd.DataFrame({
+            "kind": np.repeat([kind for kind, _ in parts], [len(index) for _, index in parts]).astype(object), "run": run, "metric": metric,
+            "step": step[rows_out], "at": at[rows_out], "value": value[rows_out],
+        })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         steps, costs, last, _ = self._load()
@@ -91,19 +96,11 @@ class MetricState(StatefulProcessor):
         elif len(steps):
             # Records without a time count from the first time that is known.
             self._store(steps, costs, max(last, now) if last == _NONE else last, _NONE, timerValues)
-        yield self._named(RECORD, None, None, pd.DataFrame({"step": [], "at": [], "value": []}))
+        yield pd.DataFrame({c.split()[0]: pd.Series(dtype="object" if "string" in c else "int64" if "bigint" in c else "float64") for c in _OUT.split(", ")})
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _named(kind: str, run, metric, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "kind": pd.Series(kind, index=rows.index, dtype="object"), "run": pd.Series(run, index=rows.index, dtype="object"),
-            "metric": pd.Series(metric, index=rows.index, dtype="object"), "step": rows["step"].astype("int64"),
-            "at": rows["at"].astype("int64"), "value": rows["value"].astype("float64"),
-        })
-
 
 def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each (run, metric, step) of an Arrow batch once, the earliest: a record repeated a million times sends few rows."""
