@@ -27,8 +27,6 @@ def test_ranks_follow_the_risk_when_probabilities_vanish(spark):
     df = spark.createDataFrame(rows, "prompt_id int, cand_idx int, risk_final double, score_used double, p_risk double")
     got = {r.cand_idx: r.rank_by_risk for r in mbr.rank_by_risk(df.select("prompt_id", "cand_idx"), df).collect()}
     assert [got[i] for i in range(6)] == [4, 1, 3, 6, 5, 2]
-    tiny = spark.createDataFrame([(0.0,), (3e-300,), (1 / 3,), (float("inf"),), (2.00000000000004,)], "x double")
-    assert [r[0] for r in tiny.select(mbr.significant(F.col("x"))).collect()] == pytest.approx([0.0, 3e-300, 1 / 3, float("inf"), 2.0])
 
 
 def test_empty_files_and_given_order(spark, tmp_path):

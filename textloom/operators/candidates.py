@@ -11,7 +11,11 @@ from textloom.functions.text import collapse, null_to_empty, strip
 
 # exp() is summed per power-of-e step of this width, so no maximum is needed
 # beforehand and no sum can overflow.
-_STEP = 64.0
+_STEP = 8.0
+# Sums of such fixed-point numbers are exact, so they do not depend on the order of rows:
+# for shares of one, and for exp() within a step.
+SHARES = "decimal(38,30)"
+_POWERS = "decimal(38,24)"
 
 
 def align_candidates(prompts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -58,7 +62,8 @@ def group_softmax(
 
     Uniform when the sum is zero or not finite (all minus infinity, a NaN, an
     infinite score).  The sums combine on the map side; only one row per group
-    is joined back.
+    is joined back.  The result is the same to the last bit however rows are
+    partitioned.
     """
     if temperature <= 0:
         raise ValueError(f"a softmax needs a positive temperature; {temperature} is none")
@@ -67,14 +72,14 @@ def group_softmax(
     finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
     step = F.when(finite, F.floor(x / _STEP))
     parts = scaled.groupBy(*group, step.alias("_k")).agg(
-        F.sum(F.when(finite, F.exp(x - F.lit(_STEP) * step)).otherwise(0.0)).alias("_z"),
+        F.sum(F.when(finite, F.exp(x - F.lit(_STEP) * step)).otherwise(0.0).cast(_POWERS)).cast("double").alias("_z"),
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(F.isnan(x) | (x == float("inf")), 1).otherwise(0)).alias("_bad"),
     )
     # One entry per occupied step of the score range.
     stats = parts.groupBy(*group).agg(
         F.max("_k").alias("_top"), F.sum("_n").alias("_n"), F.max("_bad").alias("_bad"),
-        F.collect_list(F.struct("_k", "_z")).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("_k", "_z"))).alias("_parts"),
     ).select(
         *group, "_top", "_n", "_bad",
         F.aggregate(

@@ -4,7 +4,8 @@ The risk of a candidate needs its similarity to every other one.  Equal texts
 are merged first; then the texts of a prompt are cut into blocks and each pair
 of blocks is one unit of work that returns one partial sum per hypothesis.  No
 pair is ever a row, no unit grows with the prompt, and a prompt with few
-candidates is a single unit.
+candidates is a single unit.  Sums are taken in fixed-point numbers, so risks and
+ranks are the same to the last bit however the work is divided.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.ngrams import chrf_matrix
 from textloom.functions.repetition import with_repetition
-from textloom.operators.candidates import candidate_softmax, group_softmax
+from textloom.operators.candidates import SHARES, candidate_softmax, group_softmax
 from textloom.operators.slices import number_rows
 from textloom.session import durable
 
@@ -26,8 +27,8 @@ BLOCK_TEXTS = 64
 BLOCK_CHARS = 1 << 20
 # Fixed value: weight of each repetition penalty in the final risk.
 REPETITION_WEIGHT = 0.1
-# Significant digits at which two sums of one set of numbers count as equal.
-TIE_DIGITS = 12
+# Partial risks are whole numbers of these two units, so their sums are exact in any order.
+_UNIT, _REST = 2.0 ** 60, 2.0 ** 36
 
 SCORES = ["p_model", "risk", "word_rep_penalty", "sent_rep_penalty", "risk_final", "p_risk"]
 
@@ -72,6 +73,52 @@ def _tiles(texts: DataFrame, block_texts: int, block_chars: int) -> DataFrame:
     )
 
 
+def merged_texts(candidates: DataFrame, *also: Column) -> DataFrame:
+    """``prompt_id, completion, mass, text_id``: equal texts of a prompt as one, with the sum of their probabilities."""
+    return candidates.groupBy("prompt_id", "completion").agg(
+        F.sum(F.col("p_model").cast(SHARES)).cast("double").alias("mass"), F.min("cand_idx").alias("text_id"), *also
+    )
+
+
+def fixed_parts(risks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the last axis, of 1 at most as the shares of a prompt are, in two whole numbers that add up exactly."""
+    scaled = risks * _UNIT
+    units = np.floor(scaled)
+    return units.astype(np.int64).sum(axis=-1), np.floor((scaled - units) * _REST).astype(np.int64).sum(axis=-1)
+
+
+def risk_of(units: Column, rest: Column) -> Column:
+    """The risk that summed parts stand for."""
+    return (units.cast("double") + rest.cast("double") / F.lit(_REST)) / F.lit(_UNIT)
+
+
+def unit_risks(units: DataFrame, similarity: Similarity, keys: Sequence[str]) -> DataFrame:
+    """``keys, units, rest`` per hypothesis of a unit of work: its summed risk against the unit's references.
+
+    A unit has arrays ``mass, is_hyp, is_ref, completion`` and one array per key; ``prompt_id`` is a column.
+    """
+    named = [k for k in keys if k != "prompt_id"]
+    kinds = {f.name: f.dataType for f in units.schema}
+    schema = ", ".join([f"prompt_id {kinds['prompt_id'].simpleString()}", *[f"{k} {kinds[k].elementType.simpleString()}" for k in named]])
+
+    def partial_risks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for row in batch.to_dict("records"):
+                is_hyp, is_ref = np.asarray(row["is_hyp"], bool), np.asarray(row["is_ref"], bool)
+                hyps = [t for t, keep in zip(row["completion"], is_hyp) if keep]
+                refs = [t for t, keep in zip(row["completion"], is_ref) if keep]
+                mass = np.asarray(row["mass"], float)[is_ref]
+                whole, rest = fixed_parts((1.0 - similarity(hyps, refs)) * mass)
+                own = {k: [v for v, keep in zip(row[k], is_hyp) if keep] for k in named}
+                done.append(pd.DataFrame({"prompt_id": row["prompt_id"], **own, "units": whole, "rest": rest}))
+            if done:
+                yield pd.concat(done, ignore_index=True)
+
+    parts = units.mapInPandas(partial_risks, f"{schema}, units bigint, rest bigint")
+    return parts.groupBy(*keys).agg(F.sum("units").alias("units"), F.sum("rest").alias("rest"))
+
+
 def expected_risk(
     candidates: DataFrame,
     similarity: Similarity = chrf_matrix,
@@ -83,31 +130,10 @@ def expected_risk(
     ``similarity(hyps, refs)`` returns a matrix in 0..1.
     """
     # Read for the block sizes and for the blocks, so kept: key, text and two numbers.
-    texts = durable(candidates.groupBy("prompt_id", "completion").agg(
-        F.sum("p_model").alias("mass"), F.min("cand_idx").alias("text_id")
-    ))
-
-    def partial_risks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                is_hyp, is_ref = np.asarray(row.is_hyp, bool), np.asarray(row.is_ref, bool)
-                hyps = [t for t, keep in zip(row.completion, is_hyp) if keep]
-                refs = [t for t, keep in zip(row.completion, is_ref) if keep]
-                mass = np.asarray(row.mass, float)[is_ref]
-                parts = (1.0 - similarity(hyps, refs)) @ mass
-                done.append(pd.DataFrame({"prompt_id": row.prompt_id, "completion": hyps, "part": parts}))
-            if done:
-                yield pd.concat(done, ignore_index=True)
-
-    key_type = candidates.schema["prompt_id"].dataType.simpleString()
-    risks = (
-        _tiles(texts, block_texts, block_chars)
-        .mapInPandas(partial_risks, f"prompt_id {key_type}, completion string, part double")
-        .groupBy("prompt_id", "completion")
-        .agg(F.sum("part").alias("risk"))
-    )
-    return candidates.join(risks, ["prompt_id", "completion"])
+    texts = durable(merged_texts(candidates))
+    keys = ["prompt_id", "completion"]
+    sums = unit_risks(_tiles(texts, block_texts, block_chars), similarity, keys)
+    return candidates.join(sums.select(*keys, risk_of(F.col("units"), F.col("rest")).alias("risk")), keys)
 
 
 def final_risk(risked: DataFrame, repetition_weight: float = REPETITION_WEIGHT) -> DataFrame:
@@ -136,25 +162,16 @@ def score_candidates(
     return group_softmax(numbers, ["prompt_id"], -F.col("risk_final"), risk_temperature, "p_risk")
 
 
-def significant(value: Column, digits: int = TIE_DIGITS) -> Column:
-    """The number rounded to significant digits; zero, infinities and NaN as they are."""
-    size = F.greatest(F.floor(F.log10(F.abs(value))), F.lit(-280))
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - size)
-    plain = (value == 0) | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(plain, value).otherwise(F.round(value * scale) / scale)
-
-
 def _ranking(scored: DataFrame) -> list:
     """Low final risk, then high model score, then candidate order.
 
     These are the orders of ``p_risk`` and ``p_model``, which underflow at a low
-    temperature and so are not compared themselves.  Rounded in proportion, so that
-    equal risks summed in another order stay a tie at any size.  Only a table that
-    holds no risks is ranked by its probabilities.
+    temperature and so are not compared themselves.  Only a table that holds no risks
+    is ranked by its probabilities.
     """
     if "risk_final" not in scored.columns:
-        return [F.desc(significant(F.col("p_risk"))), F.desc(significant(F.col("p_model"))), F.asc("cand_idx")]
-    return [F.asc(significant(F.col("risk_final"))), F.desc(significant(F.col("score_used"))), F.asc("cand_idx")]
+        return [F.desc("p_risk"), F.desc("p_model"), F.asc("cand_idx")]
+    return [F.asc("risk_final"), F.desc("score_used"), F.asc("cand_idx")]
 
 
 def rank_by_risk(candidates: DataFrame, scored: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from textloom.functions.arrays import length_norm_score, masked_logprob
 from textloom.functions.ngrams import chrf_matrix
 from textloom.operators import candidates as C
 from textloom.operators import mbr
+from textloom.operators.mbr_bounds import best_by_bounds
 from textloom.plans import twins as T
 from textloom.plans.fixtures import (
     candidate_lines, candidates, encoded_pairs, prompts, r6,
@@ -168,12 +169,21 @@ def mbr_rank_cold(spark, sf_dir):
     return ranked.select("prompt_id", "rank_by_risk", "cand_idx", r6("p_risk").alias("p_risk"))
 
 
-@query("mbr_best", f"""
+_BEST = f"""
     WITH {T.CANDIDATES}, {_POSTERIOR}, {_RISK}, {_FINAL}
-    SELECT prompt_id, cand_idx, completion, {T.r6('risk_final')} AS risk_final FROM ranked WHERE rank_by_risk = 1""")
+    SELECT prompt_id, cand_idx, completion, {T.r6('risk_final')} AS risk_final FROM ranked WHERE rank_by_risk = 1"""
+
+
+@query("mbr_best", _BEST)
 def mbr_best(spark, sf_dir):
-    aligned = durable(candidates(spark, sf_dir))
-    best = mbr.best_candidates(aligned, mbr.score_candidates(aligned))
+    best, _ = best_by_bounds(candidates(spark, sf_dir))
+    return best.select("prompt_id", "cand_idx", "completion", r6("risk_final").alias("risk_final"))
+
+
+@query("mbr_best_rounds", _BEST)
+def mbr_best_rounds(spark, sf_dir):
+    """The same candidates, found in rounds of two references and more."""
+    best, _ = best_by_bounds(candidates(spark, sf_dir), block_texts=2)
     return best.select("prompt_id", "cand_idx", "completion", r6("risk_final").alias("risk_final"))
 
 
