@@ -19,7 +19,11 @@ _BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def words(text: str) -> Column:
     """Lower-cased words; none for a null or empty text."""
-    return F.filter(F.split(ascii_lower(whole(text)), _BETWEEN, -1), lambda w: w != "")
+    parts = F.split(ascii_lower(whole(text)), _BETWEEN, -1)
+    # Only what stands before the first and behind the last word can be empty.
+    first = F.when(F.get(parts, F.lit(0)) == "", 2).otherwise(1)
+    empty_end = F.when((F.size(parts) >= first) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
+    return F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - empty_end, F.lit(0)))
 
 
 def _windows(all_words: Column, size: int) -> Column:
@@ -30,15 +34,23 @@ def _windows(all_words: Column, size: int) -> Column:
     )
 
 
+def _window_hash(hashes: Column, at: Column, size: Column, sizes: list[int]) -> Column:
+    """Hash of the hashes of the ``size`` words from place ``at`` (from 0); null where they do not fit."""
+    found = F.lit(None).cast("long")
+    for n in sizes:
+        found = F.when(size == n, F.xxhash64(*[F.get(hashes, at + k) for k in range(n)])).otherwise(found)
+    return F.when(at + size <= F.size(hashes), found)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """(size, gram, hash, items): each different window and the items that hold it."""
+    """(size, gram, first, items): each different window, the hash of its first word, and the items that hold it."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(text).alias("words")).filter(F.size("words") > 0)
     short = F.size("words") < window
     grams = F.when(short, F.array("words")).otherwise(_windows(F.col("words"), window))
     return (
         items.select("item", F.explode(grams).alias("gram"))
         .groupBy(F.size("gram").alias("size"), "gram").agg(F.collect_set("item").alias("items"))
-        .withColumn("hash", F.xxhash64("gram"))
+        .withColumn("first", F.xxhash64(F.get("gram", F.lit(0))))
     )
 
 
@@ -60,18 +72,23 @@ def contamination(
     texts = docs.select(
         F.col(doc_id).alias("_id"), row_key(doc_id, text).alias("row_key"), words(text).alias("_words")
     )
-    bounded = lookup(known, 2 * F.octet_length(F.array_join("gram", " ")) + 2 * F.octet_length(F.array_join("items", " ")) + 300)
     hits = None
-    for size in sizes:
-        places = texts.select(
-            "row_key", "_words",
-            F.posexplode(F.transform(_windows(F.col("_words"), size), lambda g: F.xxhash64(g))).alias("_at", "hash"),
-        )
-        same = places.join(bounded.filter(F.col("size") == size), "hash").filter(
-            F.slice("_words", F.col("_at") + 1, size) == F.col("gram")
+    if sizes:
+        # Each word is hashed once.  A window counts only where a first word of the benchmark's stands,
+        # and its hash is made from those of its words.
+        hashes = F.transform("_words", lambda w: F.xxhash64(w))
+        places = texts.select("row_key", "_words", hashes.alias("_hashes")).select(
+            "row_key", "_words", "_hashes", F.posexplode("_hashes").alias("_at", "first")
         )
-        found = same.select("row_key", "_at", F.lit(size).alias("_size"), "items")
-        hits = found if hits is None else hits.unionByName(found)
+        firsts = known.select("first").distinct()
+        begun = places.join(lookup(firsts, F.lit(16)), "first", "left_semi").select(
+            "row_key", "_words", "_hashes", "_at", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size")
+        ).withColumn("hash", _window_hash(F.col("_hashes"), F.col("_at"), F.col("size"), sizes))
+        own = F.transform("gram", lambda w: F.xxhash64(w))
+        wanted = known.select("size", "gram", "items", _window_hash(own, F.lit(0), F.col("size"), sizes).alias("hash"))
+        bounded = lookup(wanted, 2 * F.octet_length(F.array_join("gram", " ")) + 2 * F.octet_length(F.array_join("items", " ")) + 300)
+        same = begun.join(bounded, ["hash", "size"]).filter(F.slice("_words", F.col("_at") + 1, F.col("size")) == F.col("gram"))
+        hits = same.select("row_key", "_at", F.col("size").alias("_size"), "items")
     rows = texts.select("_id", "row_key", F.size("_words").cast("long").alias("n_words"))
     if hits is None:
         none = F.array().cast("array<int>"), F.array().cast("array<string>")
