@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe import round_trip_digest
-from textloom.llm.common import table
+from textloom.llm.common import kept, table
 from textloom.llm.decontaminate import without_contaminated
 from textloom.llm.queries import VOCABULARY
 from textloom.llm.secrets import without_secrets
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that every stage keeps, encoded.
+
+    What a stage keeps is written once and read by the next, so no stage runs twice and
+    a lost executor costs no earlier stage.  Null texts count as empty, null ids are
+    ids, repeated rows are near copies of each other, and an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
