@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -55,20 +56,67 @@ def tokenize(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[str]
     return df.withColumn(out, run(F.col(text)))
 
 
+def length_batches(sizes: Sequence[int], batch_rows: int, batch_chars: int) -> list[list[int]]:
+    """Places of rows of like size, together at most ``batch_rows`` rows and ``batch_chars`` when padded to the longest.
+
+    A row that is larger than ``batch_chars`` is a batch by itself.
+    """
+    batches: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
+        # In rising order the newest row is the longest.
+        if not batches or len(batches[-1]) >= batch_rows or (len(batches[-1]) + 1) * sizes[i] > batch_chars:
+            batches.append([])
+        batches[-1].append(i)
+    return batches
+
+
+def _reconciled(given: pd.DataFrame, made: pd.DataFrame, key: Sequence[str]) -> None:
+    """Raise, naming a key, if a scorer lost, doubled or reordered rows."""
+    if not key:
+        if len(made) != len(given):
+            raise ValueError(f"the scorer returned {len(made)} rows for {len(given)}")
+        return
+    want, got = (list(frame[list(key)].itertuples(index=False, name=None)) for frame in (given, made))
+    if want == got:
+        return
+    lost, extra = Counter(want) - Counter(got), Counter(got) - Counter(want)
+    what = "lost" if lost else "returned without being given, or twice," if extra else "returned in another order"
+    which = next(iter(lost or extra), None) or next(w for w, g in zip(want, got) if w != g)
+    raise ValueError(f"the scorer {what} row {dict(zip(key, which))}")
+
+
 def score_texts(
-    df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch_rows: int = 64
+    df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch_rows: int = 64, *,
+    key: Sequence[str] = (), text: str | None = None, batch_chars: int = 1 << 16, hold_rows: int = 4096,
 ) -> DataFrame:
     """Run a user's model over the rows in small batches.
 
-    The scorer takes a frame of ``batch_rows`` rows and returns a frame with the
-    columns of ``schema``.
+    The scorer takes a frame of at most ``batch_rows`` rows and returns a frame with the
+    columns of ``schema``, one row for each given and in their order.  With ``key``, columns
+    that it must hand back, a row that it loses, doubles or moves is an error that names
+    the key; without, only their number is compared.  With ``text``, batches are made of
+    texts of like length, of at most ``batch_chars`` characters once padded to the longest,
+    among ``hold_rows`` rows at a time; results come back in the rows' order.
     """
+    def score(scorer, frame: pd.DataFrame) -> pd.DataFrame:
+        made = scorer(frame.reset_index(drop=True))
+        _reconciled(frame, made, key)
+        return made
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for frame in batches:
-            for start in range(0, len(frame), batch_rows):
-                yield scorer(frame.iloc[start:start + batch_rows].reset_index(drop=True))
+            for start in range(0, len(frame), hold_rows):
+                held = frame.iloc[start:start + hold_rows]
+                if text is None:
+                    for at in range(0, len(held), batch_rows):
+                        yield score(scorer, held.iloc[at:at + batch_rows])
+                    continue
+                sizes = [len(t) if isinstance(t, str) else 0 for t in held[text]]
+                parts = length_batches(sizes, batch_rows, batch_chars)
+                made = pd.concat([score(scorer, held.iloc[part]) for part in parts], ignore_index=True)
+                places = [i for part in parts for i in part]
+                yield made.iloc[sorted(range(len(places)), key=places.__getitem__)]
 
     return df.mapInPandas(run, schema)
 

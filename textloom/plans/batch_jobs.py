@@ -61,7 +61,7 @@ def rank_all(
     def unit(line: str) -> Column:
         return F.concat_ws("/", *_WORK, F.format_string("%012d", F.col(line)))
 
-    rows = readers.number_csv_rows(readers.require_columns(readers.read_csv(spark, f"{prompts}/*/*.csv"), ["prompt"], "prompts"))
+    rows = readers.require_columns(readers.read_csv_rows(spark, f"{prompts}/*/*.csv"), ["prompt"], "prompts")
     prompted = rows.select(*_leaf(F.col("source"), "dialect"), "line_idx", "prompt")
     n_lines = every.groupBy("source").agg((F.max("line_idx") + 1).alias("n_lines"))
     n_prompts = prompted.groupBy(*_WORK).agg((F.max("line_idx") + 1).alias("n_prompts"))
@@ -105,7 +105,7 @@ def evaluate_all_translations(
     given = readers.read_parallel_lines(spark, f"{hyps}/*/*.out").select(
         *_leaf(F.col("source"), "direction"), "line_idx", F.col("completion").alias("text")
     )
-    rows = readers.number_csv_rows(readers.require_columns(readers.read_csv(spark, f"{refs}/*/*.csv"), [ref_field], "references"))
+    rows = readers.require_columns(readers.read_csv_rows(spark, f"{refs}/*/*.csv"), [ref_field], "references")
     wanted = rows.select(*_leaf(F.col("source"), "direction"), "line_idx", F.col(ref_field).alias("text"))
     pairs = durable(pair_lines(given, wanted, keys))
     split = pairs.where(~F.col("mismatch")).withColumns({"hyp_tokens": tokens(F.col("hyp")), "ref_tokens": tokens(F.col("ref"))})

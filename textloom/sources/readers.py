@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import blank_na, normalize_text, null_to_empty, strip
+from textloom.sources.csv_blocks import read_csv_blocks
 
 # Keys of a JSON output line, first match wins.
 COMPLETION_KEYS = ["completion", "output", "text", "hyp", "prediction"]
@@ -33,8 +34,8 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header and quoted cells; every column is text.
 
-    Cells with line breaks force one task per file; without such cells set
-    ``multi_line=False`` and large files are split.
+    Cells with line breaks force one task per file here; ``read_csv_rows`` reads such
+    files by blocks.
     """
     return (
         spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
@@ -43,6 +44,20 @@ def read_csv(
     )
 
 
+def read_csv_rows(
+    spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", multi_line: bool = True
+) -> DataFrame:
+    """``source, line_idx`` and the columns of CSV files with a header; ``line_idx`` is the 0-based row in its file.
+
+    Files in UTF-8 are read by blocks, line breaks in cells or not; any other charset
+    takes a task per file.  Columns are named by the first file.
+    """
+    table = read_csv(spark, path, delimiter, encoding, multi_line)
+    if multi_line and encoding.lower().replace("-", "") == "utf8":
+        return read_csv_blocks(spark, path, table.columns, delimiter)
+    return number_csv_rows(table)
+
+
 def read_pairs(
     spark: SparkSession, path: str | list[str], prompt_col: str = "prompt", completion_col: str = "completion",
     delimiter: str = ",", encoding: str = "utf-8", na_values: list[str] | None = None, multi_line: bool = True,
@@ -51,8 +66,8 @@ def read_pairs(
 
     ``row_id`` is the 0-based row in its file, so dropped rows leave gaps.
     """
-    raw = require_columns(read_csv(spark, path, delimiter, encoding, multi_line), [prompt_col, completion_col], "CSV")
-    pairs = number_csv_rows(raw).select(
+    raw = require_columns(read_csv_rows(spark, path, delimiter, encoding, multi_line), [prompt_col, completion_col], "CSV")
+    pairs = raw.select(
         "source", F.col("line_idx").alias("row_id"),
         normalize_text(blank_na(F.col(prompt_col), na_values)).alias("prompt"),
         normalize_text(blank_na(F.col(completion_col), na_values)).alias("completion"),
@@ -176,7 +191,7 @@ def read_texts(spark: SparkSession, path: str, csv_field: str) -> DataFrame:
     if suffix in ("txt", "out"):
         return read_lines(spark, path).select("line_idx", F.col("line").alias("text"))
     if suffix == "csv":
-        return number_csv_rows(require_columns(read_csv(spark, path), [csv_field], path)).select(
+        return require_columns(read_csv_rows(spark, path), [csv_field], path).select(
             "line_idx", F.col(csv_field).alias("text")
         )
     raise ValueError(f"unsupported file type: {path}; use .txt, .out or .csv")
@@ -193,8 +208,8 @@ def number_csv_rows(table: DataFrame) -> DataFrame:
 
 def read_prompts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``prompt_id, prompt`` from the ``prompt`` column of a CSV."""
-    table = require_columns(read_csv(spark, path), ["prompt"], "prompt file")
-    numbered = number_csv_rows(require_rows(table, "no prompts found"))
+    table = require_columns(read_csv_rows(spark, path), ["prompt"], "prompt file")
+    numbered = require_rows(table, "no prompts found")
     return numbered.select(F.col("line_idx").alias("prompt_id"), "prompt")
 
 
