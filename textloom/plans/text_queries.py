@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import chat, repetition, text
+from textloom.operators.long_texts import with_repetition_of_any_length
 from textloom.operators.reports import unfinished
 from textloom.plans import twins as T
 from textloom.plans.fixtures import documents, prompt_pairs, r6, rendered_pairs, table
@@ -165,6 +166,15 @@ _penalty("sentence_repetition", "penalty", "greatest(rep, loop)", lambda t, s: r
 _penalty("word_repetition", "penalty", "greatest(w4, c8, run)", lambda t, s: repetition.word_repetition(t))
 
 
+@query("repetition_in_pieces", f"""
+    WITH {T.repetition('documents', 'doc_id', 'text', 'reps')}
+    SELECT doc_id, {T.r6('greatest(w4, c8, run)')} AS word_rep_penalty, {T.r6('greatest(rep, loop)')} AS sent_rep_penalty FROM reps""")
+def repetition_in_pieces(spark, sf_dir):
+    """The penalties of documents, those of over 30,000 characters counted in pieces."""
+    scored = with_repetition_of_any_length(documents(spark, sf_dir), ["doc_id"], "text", long_chars=30_000)
+    return scored.select("doc_id", r6("word_rep_penalty").alias("word_rep_penalty"), r6("sent_rep_penalty").alias("sent_rep_penalty"))
+
+
 @query("repetition_by_lang", f"""
     WITH {T.repetition('documents', 'doc_id', 'text', 'reps')}
     SELECT lang, {T.r6('avg(greatest(w4, c8, run))')} AS word_rep_penalty,
