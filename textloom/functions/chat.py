@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.templates import UserTemplate
 from textloom.functions.text import null_to_empty, strip
 
 
@@ -40,8 +41,10 @@ def chat_messages(prompt: Column, completion: Column | None = None, system: Colu
     return F.filter(F.array(*parts), lambda m: m.isNotNull())
 
 
-def render_chat(messages: Column, add_generation: bool = False, template: ChatTemplate = DEFAULT_TEMPLATE) -> Column:
+def render_chat(messages: Column, add_generation: bool = False, template: ChatTemplate | UserTemplate = DEFAULT_TEMPLATE) -> Column:
     """Text of a conversation, optionally opening the assistant's turn."""
+    if isinstance(template, UserTemplate):
+        return template.render(messages, add_generation)
     rendered = F.array_join(
         F.transform(messages, lambda m: template.message(m["role"], m["content"])), ""
     )
@@ -49,7 +52,7 @@ def render_chat(messages: Column, add_generation: bool = False, template: ChatTe
 
 
 def render_pair(
-    prompt: Column, completion: Column, system: Column | None = None, template: ChatTemplate = DEFAULT_TEMPLATE
+    prompt: Column, completion: Column, system: Column | None = None, template: ChatTemplate | UserTemplate = DEFAULT_TEMPLATE
 ) -> tuple[Column, Column]:
     """``(full_text, prompt_only_text)`` of a prompt and its completion."""
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.arrays import length_norm_score
 from textloom.functions.chat import DEFAULT_TEMPLATE, ChatTemplate, render_pair
 from textloom.functions.ngrams import chrf_matrix
+from textloom.functions.templates import UserTemplate
 from textloom.functions.text import words
 from textloom.operators import mbr
 from textloom.operators.candidates import align_candidates, dedupe_candidates, short_sources
@@ -23,7 +24,7 @@ from textloom.sources import readers, writers
 
 def prepare_training_set(
     spark: SparkSession, csv_path: str, out: str, make_encoder: Callable[[], Callable[[str], list[int]]], *,
-    max_length: int = 2048, system_prompt: str | None = None, template: ChatTemplate = DEFAULT_TEMPLATE,
+    max_length: int = 2048, system_prompt: str | None = None, template: ChatTemplate | UserTemplate = DEFAULT_TEMPLATE,
     delimiter: str = ",", encoding: str = "utf-8", prompt_col: str = "prompt", completion_col: str = "completion",
 ) -> None:
     """Prompt/completion CSV to a tokenized, masked set with its settings beside."""
