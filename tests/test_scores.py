@@ -205,3 +205,21 @@ def test_hot_prompt_with_copies(spark):
     weights = np.exp([r[3] for r in rows[:600]])
     expected = (1 - chrf_matrix(mine, mine)) @ (weights / weights.sum())
     assert np.allclose([r.risk for r in hot], expected)
+
+
+def test_bleu_over_subwords(spark):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    from textloom.operators.overlap import corpus_bleu
+    from textloom.operators.tokens import subword_tokens
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, encode = subword_tokens(spark, path), SentencePieceProcessor(model_file=path).encode
+    texts = [t for t in random_texts(40, 14)] + ["", "naïve 中文字 🙂"]
+    rows = [(i % 3, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1]))] + [(0, None, "x y")]
+    df = spark.createDataFrame(rows, "g int, hyp string, ref string").select("g", pieces(F.col("hyp")).alias("h"), pieces(F.col("ref")).alias("r"))
+    got = {r.g: (r.n, r.bleu) for r in corpus_bleu(df, ["g"], "h", "r").collect()}
+    for g in range(3):
+        mine = [(encode(h or "", out_type=str), encode(r, out_type=str)) for k, h, r in rows if k == g]
+        assert got[g] == (len(mine), pytest.approx(plain.bleu(mine)))

@@ -6,8 +6,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.arrays import mask_labels, supervised_share, take
 from textloom.operators.slices import number_rows
@@ -56,6 +57,26 @@ def tokenize(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[str]
     return df.withColumn(out, run(F.col(text)))
 
 
+def subword_tokens(spark: SparkSession, model_path: str) -> Callable[[Column], Column]:
+    """What turns a text column into its subword pieces, by a public sentencepiece model.
+
+    The model is a file the driver can read; executors get its content.  Null counts as
+    empty and has no pieces.  The result serves as ``tokens`` of the evaluation jobs.
+    """
+    with open(model_path, "rb") as file:
+        model = spark.sparkContext.broadcast(file.read())
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from sentencepiece import SentencePieceProcessor
+
+        encoder = SentencePieceProcessor(model_proto=model.value)
+        for texts in batches:
+            yield pd.Series(encoder.encode(texts.fillna("").tolist(), out_type=str, num_threads=1), index=texts.index, dtype=object)
+
+    return lambda text: run(text)
+
+
 def length_batches(sizes: Sequence[int], batch_rows: int, batch_chars: int) -> list[list[int]]:
     """Places of rows of like size, together at most ``batch_rows`` rows and ``batch_chars`` when padded to the longest.
 

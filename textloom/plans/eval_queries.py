@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays
@@ -13,6 +14,7 @@ from textloom.operators import overlap as O
 from textloom.operators.reports import macro_score, mt_report
 from textloom.operators.runlog import average_lengths
 from textloom.operators.slices import number_rows
+from textloom.operators.tokens import subword_tokens
 from textloom.plans import twins as T
 from textloom.plans.fixtures import edited_documents, r6, table
 from textloom.plans.registry import query
@@ -111,6 +113,14 @@ def corpus_bleu(spark, sf_dir):
     return scores.select("lang", "n", r6("bleu").alias("bleu"))
 
 
+@query("corpus_bleu_subwords")
+def corpus_bleu_subwords(spark, sf_dir):
+    """BLEU over the pieces of a public subword model, which SQL cannot make."""
+    pieces = subword_tokens(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    pairs = edited_documents(spark, sf_dir).select("lang", pieces(F.col("hyp")).alias("hyp_pieces"), pieces(F.col("ref")).alias("ref_pieces"))
+    return O.corpus_bleu(pairs, ["lang"], "hyp_pieces", "ref_pieces").select("lang", "n", r6("bleu").alias("bleu"))
+
+
 _DIRECTIONS = dims.directions(dims.REPORT_DIALECTS)
 _DIRECTION_LIST = "[" + ", ".join(f"'{d}'" for d in _DIRECTIONS) + "]"
 

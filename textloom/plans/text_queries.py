@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import chat, repetition, text
+from textloom.functions.templates import UserTemplate
 from textloom.operators.long_texts import with_repetition_of_any_length
 from textloom.operators.reports import unfinished
 from textloom.plans import twins as T
@@ -123,6 +124,28 @@ def render_chat(spark, sf_dir):
     )
 
 
+_CHATML = (
+    "{% for message in messages %}{{'<|im_start|>' + message['role'] + '\\n' + message['content'] + '<|im_end|>' + '\\n'}}"
+    "{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}"
+)
+
+
+def _chatml_sql(role: str, content: str) -> str:
+    return f"'<|im_start|>{role}' || chr(10) || {content} || '<|im_end|>' || chr(10)"
+
+
+@query("render_user_template", f"""
+    WITH {T.PAIRS},
+    heads AS (SELECT *, CASE WHEN coalesce(system, '') <> '' THEN {_chatml_sql('system', 'system')} ELSE '' END
+                        || {_chatml_sql('user', 'prompt')} AS head FROM pairs)
+    SELECT conv_id, turn, md5(head || {_chatml_sql('assistant', 'completion')}) AS full_digest,
+           md5(head || '<|im_start|>assistant' || chr(10)) AS prompt_digest FROM heads""")
+def render_user_template(spark, sf_dir):
+    """The pairs by a template as users write them."""
+    full, head = chat.render_pair(F.col("prompt"), F.col("completion"), F.col("system"), UserTemplate(_CHATML))
+    return prompt_pairs(spark, sf_dir).select("conv_id", "turn", F.md5(full).alias("full_digest"), F.md5(head).alias("prompt_digest"))
+
+
 @query("fmt_instruction", f"""
     WITH {T.PAIRS}
     SELECT conv_id, turn, md5(head || completion) AS full_digest, md5(head) AS prompt_digest
