@@ -174,3 +174,24 @@ def test_mix_from_plan(spark, tmp_path):
     put(tmp_path / "bad.json", json.dumps([{"name": "one", "path": str(tmp_path / "one"), "speed": 2}]))
     with pytest.raises(ValueError, match="speed"):
         batch_jobs.mix_from_plan(spark, str(tmp_path / "bad.json"), str(tmp_path / "m2"), seed=1)
+
+
+def test_everything_over_cells_of_ones_own(spark, tmp_path):
+    put(tmp_path / "h/news/aa-bb.out", "the cat sat\na dog\n")
+    put(tmp_path / "r/news/aa-bb.csv", "completion\nthe cat sat\na dog\nmore\n")
+    put(tmp_path / "t/mono/blog/egy.out", "good\n\n")
+    put(tmp_path / "t/mono/blog/syr.out", "other\n")
+    put(tmp_path / "t/mono/blog/irq.out", "")
+
+    def add_classes(df):
+        return df.withColumns({"code": F.lit("arz"), "logits": F.array_repeat(F.lit(0.0), 18), "dialectness": F.lit(0.9)})
+
+    mt_cells = spark.createDataFrame([("news", "aa-bb"), ("news", "bb-aa")], "corpus string, direction string")
+    fidelity_cells = spark.createDataFrame([("mono", "blog", "egy")], "lang_set string, corpus string, dialect string")
+    scores, problems = batch_jobs.score_everything(
+        spark, str(tmp_path / "h"), str(tmp_path / "r"), str(tmp_path / "t"), add_classes, mt_cells=mt_cells, fidelity_cells=fidelity_cells)
+    got = {(r.task, r.corpus, r.target, r.metric): (round(r.value, 4), r.n) for r in scores.collect()}
+    assert got["translation", "news", "aa-bb", "chrf"] == (100.0, 2) and got["translation", "news", "bb-aa", "bleu"] == (0.0, 0)
+    assert got["fidelity", "blog", "egy", "prob"] == (round(1 / 36, 4), 2) and len(got) == 8
+    found = sorted((r.task, r.problem, r.name.split("/")[-1], r.n) for r in problems.collect())
+    assert found == [("fidelity", "empty file", "irq.out", 0), ("fidelity", "outside the report", "syr", 1), ("translation", "lines without a partner", "aa-bb", 1)]

@@ -90,18 +90,25 @@ def fidelity_scores(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def fidelity_report(rows: DataFrame) -> DataFrame:
-    """One line per expected (set, corpus, dialect); what is missing scores 0."""
-    keys = ["lang_set", "corpus", "dialect"]
-    scores = fidelity_scores(rows, keys)
-    return fidelity_grid(rows.sparkSession).join(scores, keys, "left").fillna(0, ["n", *METRICS])
+_CELL = ["lang_set", "corpus", "dialect"]
 
 
-def report_leftovers(rows: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, grid: DataFrame | None) -> DataFrame:
+    return fidelity_grid(rows.sparkSession) if grid is None else grid.select(*_CELL).distinct()
+
+
+def fidelity_report(rows: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """One line per expected (set, corpus, dialect); what is missing scores 0.
+
+    ``grid`` has the expected cells; by default the usual ones.
+    """
+    return _cells(rows, grid).join(fidelity_scores(rows, _CELL), _CELL, "left").fillna(0, ["n", *METRICS])
+
+
+def report_leftovers(rows: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """Rows per (set, corpus, dialect) that the report's grid does not hold."""
-    keys = ["lang_set", "corpus", "dialect"]
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(fidelity_grid(rows.sparkSession)), keys, "left_anti")
+    counts = rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(_cells(rows, grid), _CELL, "left_anti")
 
 
 def fidelity_counts(rows: DataFrame) -> DataFrame:

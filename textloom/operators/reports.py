@@ -9,14 +9,16 @@ from textloom.operators.overlap import corpus_scores
 from textloom.sources.dims import mt_grid
 
 
-def mt_report(pairs: DataFrame) -> DataFrame:
+def mt_report(pairs: DataFrame, grid: DataFrame | None = None) -> DataFrame:
     """chrF++ and BLEU of each expected corpus and direction; missing scores 0.
 
-    Input: ``corpus, direction, hyp, ref, hyp_tokens, ref_tokens``.
+    Input: ``corpus, direction, hyp, ref, hyp_tokens, ref_tokens``.  ``grid`` has the
+    expected ``corpus, direction``; by default the usual ones.
     """
     keys = ["corpus", "direction"]
     scores = corpus_scores(pairs, keys, "hyp", "ref", "hyp_tokens", "ref_tokens")
-    return mt_grid(pairs.sparkSession).join(scores, keys, "left").fillna(0, ["n", "chrf", "bleu"])
+    wanted = mt_grid(pairs.sparkSession) if grid is None else grid.select(*keys).distinct()
+    return wanted.join(scores, keys, "left").fillna(0, ["n", "chrf", "bleu"])
 
 
 def unfinished(work: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:

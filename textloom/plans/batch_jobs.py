@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import fields
 from functools import reduce
 
@@ -13,7 +13,7 @@ from textloom.functions.arrays import length_norm_score
 from textloom.functions.text import words
 from textloom.operators import mbr
 from textloom.operators.candidates import align_candidates
-from textloom.operators.fidelity import fidelity_report, fidelity_rows, report_leftovers
+from textloom.operators.fidelity import METRICS, fidelity_report, fidelity_rows, report_leftovers
 from textloom.operators.mixing import MixEntry, concat_parts, dataset_mix, mix_summary, plan_gaps, plan_table, seeded_shuffle
 from textloom.operators.overlap import pair_lines
 from textloom.operators.reports import mt_report, unfinished
@@ -93,14 +93,17 @@ def rank_all(
 
 def evaluate_all_translations(
     spark: SparkSession, hyps: str, refs: str, ref_field: str = "completion", tokens: Callable[[Column], Column] = words,
+    grid: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The translation report of ``<hyps>/<corpus>/<direction>.out`` against ``<refs>/<corpus>/<direction>.csv``.
 
     The second table counts, by corpus and direction, lines without a partner; they
     are not scored.  The third counts paired lines of a corpus or direction that the
-    report does not hold.
+    report does not hold.  ``grid`` has the ``corpus, direction`` of the report, by default
+    the usual ones.
     """
     configure(spark)
+    grid = mt_grid(spark) if grid is None else grid
     keys = ["corpus", "direction", "line_idx"]
     given = readers.read_parallel_lines(spark, f"{hyps}/*/*.out").select(
         *_leaf(F.col("source"), "direction"), "line_idx", F.col("completion").alias("text")
@@ -110,15 +113,15 @@ def evaluate_all_translations(
     pairs = durable(pair_lines(given, wanted, keys))
     split = pairs.where(~F.col("mismatch")).withColumns({"hyp_tokens": tokens(F.col("hyp")), "ref_tokens": tokens(F.col("ref"))})
     unpaired = pairs.where("mismatch").groupBy("corpus", "direction").agg(F.count(F.lit(1)).alias("n"))
-    left = split.groupBy("corpus", "direction").agg(F.count(F.lit(1)).alias("n")).join(mt_grid(spark), ["corpus", "direction"], "left_anti")
-    return mt_report(split), unpaired, left
+    left = split.groupBy("corpus", "direction").agg(F.count(F.lit(1)).alias("n")).join(grid, ["corpus", "direction"], "left_anti")
+    return mt_report(split, grid), unpaired, left
 
 
 def report_fidelity(
     spark: SparkSession, tree: str, add_classes: Callable[[DataFrame], DataFrame], *,
-    target_lang: str = "ara", require_target_lang: bool = True, allow_msa: bool = False,
+    target_lang: str = "ara", require_target_lang: bool = True, allow_msa: bool = False, grid: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The fidelity report of ``<tree>/<set>/<corpus>/<dialect>.out``.
+    """The fidelity report of ``<tree>/<set>/<corpus>/<dialect>.out``, over the cells of ``grid`` or the usual ones.
 
     With it: rows outside the report's grid by set, corpus and dialect, and the files
     without any line.
@@ -132,7 +135,44 @@ def report_fidelity(
     )
     rows = durable(fidelity_rows(add_classes(lines), require_target_lang, allow_msa))
     empty = readers.list_files(spark, path).select("source").join(rows.select("source").distinct(), "source", "left_anti")
-    return fidelity_report(rows), report_leftovers(rows), empty
+    return fidelity_report(rows, grid), report_leftovers(rows, grid), empty
+
+
+def score_everything(
+    spark: SparkSession, hyps: str, refs: str, tree: str, add_classes: Callable[[DataFrame], DataFrame], *,
+    ref_field: str = "completion", tokens: Callable[[Column], Column] = words, target_lang: str = "ara",
+    require_target_lang: bool = True, allow_msa: bool = False, mt_cells: DataFrame | None = None, fidelity_cells: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Translation and fidelity of one set of runs in one job.
+
+    First ``task, lang_set, corpus, target, metric, value, n``, a row per metric of both
+    reports (``target`` is the direction or dialect); then ``task, problem, name, n`` for all that
+    neither report counts: lines without a partner, cells outside a report, empty files.
+    """
+    mt, unpaired, mt_left = evaluate_all_translations(spark, hyps, refs, ref_field, tokens, mt_cells)
+    fid, fid_left, empty = report_fidelity(
+        spark, tree, add_classes, target_lang=target_lang, require_target_lang=require_target_lang, allow_msa=allow_msa, grid=fidelity_cells
+    )
+
+    def long(report: DataFrame, task: str, lang_set: Column, target: str, metrics: Sequence[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("m")
+        return report.select(F.lit(task).alias("task"), lang_set.alias("lang_set"), "corpus", F.col(target).alias("target"), "n", each).select(
+            "task", "lang_set", "corpus", "target", "m.metric", "m.value", "n"
+        )
+
+    def problem(rows: DataFrame, task: str, what: str, names: Sequence[str], n: Column) -> DataFrame:
+        return rows.select(F.lit(task).alias("task"), F.lit(what).alias("problem"), F.concat_ws("/", *names).alias("name"), n.alias("n"))
+
+    scores = long(mt, "translation", F.lit(None).cast("string"), "direction", ["chrf", "bleu"]).unionByName(
+        long(fid, "fidelity", F.col("lang_set"), "dialect", list(METRICS))
+    )
+    problems = [
+        problem(unpaired, "translation", "lines without a partner", ["corpus", "direction"], F.col("n")),
+        problem(mt_left, "translation", "outside the report", ["corpus", "direction"], F.col("n")),
+        problem(fid_left, "fidelity", "outside the report", ["lang_set", "corpus", "dialect"], F.col("n")),
+        problem(empty, "fidelity", "empty file", ["source"], F.lit(0).cast("bigint")),
+    ]
+    return scores, reduce(DataFrame.unionByName, problems)
 
 
 def read_plan(spark: SparkSession, path: str) -> list[MixEntry]:
