@@ -13,7 +13,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import portions
 from textloom.llm.common import kept, small_batches, whole
 
 # So many pieces are packed together, so each shard wastes no more than its last sequences.
 SHARD_PIECES = 1 << 14
 # A word of more characters is encoded, but not remembered.
 _CACHED_CHARS = 64
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 400_000
 # Sequences with no room for the shortest piece leave the matrix after so many placements.
 _COMPACT_EVERY = 256
 _SHARD_BITS = 32
@@ -121,6 +120,22 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     return sequence, offset
 
 
+class _Remembered(dict):
+    """What ``make`` gives for a text, made once and remembered while there is room."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= _CACHED_CHARS:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins what white space parts.
 
@@ -135,48 +150,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model = Tokenizer(self.tokenizer.model)
+        self.model = self.tokenizer.model
         self.direct = _has_known_steps(json.loads(definition))
-        # By part, or by a word the library must see whole, which has a newline before it.
-        self.known: dict[str, bytes] = {}
+        parts = _Remembered(self._part)
+        self.plain = _Remembered(lambda word: b"".join([parts[part] for part in _PARTS(word)]))
+        self.other = _Remembered(self._word)
 
-    def cut(self, text: str) -> list[str]:
+    def _part(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        plain, other = self.plain, self.other
         if self.direct and _PLAIN_TEXT(text):
-            return _PARTS(text.lower())
-        out: list[str] = []
-        for word in _WORDS(text):
-            if self.direct and _PLAIN_TEXT(word):
-                out += _PARTS(word.lower())
-            else:
-                out.append("\n" + word)
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        parts = [p for p in new if p[0] != "\n"]
-        words = [w[1:] for w in new if w[0] == "\n"]
-        if parts:
-            letters = [p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in parts]
-            found = self.model.encode(letters, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            cuts = np.searchsorted(np.array(found.word_ids), np.arange(len(parts) + 1)).tolist()
-            self.known.update((part, raw[4 * a:4 * b]) for part, a, b in zip(parts, cuts, cuts[1:]))
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known["\n" + word] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(text) for text in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known.clear()
-            new = set().union(*cut)
-        self.learn(list(new))
-        known = self.known
-        out = [b"".join([known[key] for key in keys]) for keys in cut]
-        for key in new:
-            if len(key) > _CACHED_CHARS:
-                del known[key]
-        return out
+            return b"".join([plain[word] for word in text.lower().split()])
+        return b"".join([
+            plain[word.lower()] if self.direct and _PLAIN_TEXT(word) else other[word] for word in _WORDS(text)
+        ])
 
 
 def _has_known_steps(definition: dict) -> bool:
@@ -209,15 +203,13 @@ def token_pieces(
         encoder = None
         for batch in batches:
             encoder = encoder or WordEncoder(shared.value)
-            texts = batch.column(1).to_pylist()
             row, start, cut = [], [], []
-            for first, stop in portions(texts):
-                for i, raw in enumerate(encoder.encode(texts[first:stop]), first):
-                    raw += end
-                    places = range(0, len(raw) // 4, longest)
-                    row += [i] * len(places)
-                    start += places
-                    cut += [raw[4 * at:4 * (at + longest)] for at in places]
+            for i, value in enumerate(batch.column(1)):
+                raw = encoder.encode(value.as_py()) + end
+                places = range(0, len(raw) // 4, longest)
+                row += [i] * len(places)
+                start += places
+                cut += [raw[4 * at:4 * (at + longest)] for at in places]
             columns = {
                 "_id": batch.column(0).take(pa.array(row, pa.int64())),
                 "piece": pa.array([at // longest for at in start], pa.int32()),
