@@ -77,8 +77,9 @@ def contamination(
         # Each word is hashed once.  A window counts only where a first word of the benchmark's stands,
         # and its hash is made from those of its words.
         hashes = F.transform("_words", lambda w: F.xxhash64(w))
+        # The outer form, as for the other one Spark adds a filter that makes all hashes a second time.
         places = texts.select("row_key", "_words", hashes.alias("_hashes")).select(
-            "row_key", "_words", "_hashes", F.posexplode("_hashes").alias("_at", "first")
+            "row_key", "_words", "_hashes", F.posexplode_outer("_hashes").alias("_at", "first")
         )
         firsts = known.select("first").distinct()
         begun = places.join(lookup(firsts, F.lit(16)), "first", "left_semi").select(
