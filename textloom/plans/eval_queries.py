@@ -364,7 +364,9 @@ def stream_scored_lines(spark, sf_dir):
     docs = _classed_documents(spark, sf_dir).withColumn("file", F.floor(F.col("doc_id") / _FILE_LINES).cast("string"))
     lines = docs.select("file", "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
     lines.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(f"{folder}/outputs")
-    numbers = number_rows(docs.drop("text"), ["file"], [F.asc("doc_id")], "line_idx").withColumn("line_idx", F.col("line_idx") - 1)
+    # Only keys are sorted; what the models said joins them by document.
+    numbers = number_rows(docs.select("file", "doc_id"), ["file"], [F.asc("doc_id")], "line_idx").withColumn("line_idx", F.col("line_idx") - 1)
+    numbers = numbers.join(docs.drop("text", "file"), "doc_id")
 
     def classes(arrived):
         placed = arrived.withColumn("file", F.regexp_extract("source", "file=([0-9]+)/", 1))
