@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.functions.repetition import with_repetition
+from textloom.functions.repetition import looping_penalty, sentence_repetition, with_repetition
+from textloom.functions.text import split_sentences
 from textloom.operators.long_texts import char_pieces, gram_penalties, with_repetition_of_any_length, word_pieces
 
 
@@ -44,3 +45,12 @@ def test_one_long_text_is_many_tasks(spark):
     chars = {text[i:i + 8] for i in range(len(text) - 7)}
     assert found.word_grams == 1 - len(grams) / (len(words) - 3) and found.char_grams == 1 - len(chars) / (len(text) - 7)
     assert gram_penalties(df.where(F.lit(False)), ["a"], "t").collect() == []
+
+
+def test_sentences_are_split_once(spark):
+    df = spark.createDataFrame([("One is here. Two is here. " * 4,)], "t string")
+    for penalty in (sentence_repetition, looping_penalty):
+        found = df.select(penalty(split_sentences(F.col("t"))).alias("p"))
+        # Inside a loop over sentences it would be split again for each of them.
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        assert found.first().p == 1.0

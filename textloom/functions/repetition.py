@@ -115,6 +115,11 @@ def looping_penalty(
     sentences: Column, max_period: int = MAX_PERIOD, min_repeats: int = MIN_LOOP_REPEATS
 ) -> Column:
     """How far the sentences follow one short cycle, from 60% (0) to 100% (1)."""
+    # Bound once: an expression inside the loop would be computed anew for every sentence.
+    return let(sentences, lambda bound: _looping(bound, max_period, min_repeats))
+
+
+def _looping(sentences: Column, max_period: int, min_repeats: int) -> Column:
     n = F.size(sentences)
     # A period that does not fit min_repeats times counts nothing.
     def agreeing(period: int) -> Column:
@@ -130,8 +135,11 @@ def looping_penalty(
 
 
 def sentence_repetition(sentences: Column) -> Column:
-    """Sentence-level penalty of a text given its sentences."""
-    return F.greatest(repeated_sentence_penalty(sentences), looping_penalty(sentences))
+    """Sentence-level penalty of a text given its sentences.
+
+    They are bound once, also where an expression that splits a text is given.
+    """
+    return let(sentences, lambda s: F.greatest(repeated_sentence_penalty(s), looping_penalty(s)))
 
 
 def word_repetition(text: Column) -> Column:
