@@ -178,3 +178,22 @@ def test_model_hooks(spark):
 
     scored = K.score_texts(df.coalesce(1), make_scorer, "i int, score double", batch_rows=5).collect()
     assert {r.i: r.score for r in scored} == {i: i / 5 for i in range(10)}
+
+
+def most_rows_of_a_part(spark, build):
+    """Share of the rows that lies in the fullest partition, with the plan Spark makes without statistics."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("false", "-1")):
+            spark.conf.set(name, value)
+        counts = [r["count"] for r in build().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    return max(counts) / sum(counts)
+
+
+def test_sample_of_one_group_stays_dealt_out(spark):
+    rows = spark.range(4000).withColumn("g", F.lit("a"))
+    assert most_rows_of_a_part(spark, lambda: M.sample_frac(rows, ["g"], F.col("id"), 0.9, 1)) < 0.5

@@ -76,22 +76,23 @@ def take_by_hash(
 ) -> DataFrame:
     """Flag the first rows of a seeded order per group; ``wanted(size, share)`` says how many.
 
-    ``share`` is one value per group.  Slices before the one with the last wanted row
-    are taken whole and those behind it not at all, by comparison with one small row
-    per group; only the rows of that one slice are sorted.
+    ``share`` is one value per group.  How many rows a slice gives is joined to its rows by
+    group and slice, so rows of a large group stay dealt out; only the one slice per group
+    that is taken in part is sorted.
     """
     sliced = hash_slices(df, key, seed)
-    counts = sliced.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_n"), F.first(share).alias("_share"))
+    keys = [*group, SLICE]
+    counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(share).alias("_share"))
     of_group = Window.partitionBy(*group)
     so_far = of_group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = counts.withColumn("_size", F.sum("_n").over(of_group)).withColumn("_upto", F.sum("_n").over(so_far))
     last = F.least(F.col("_size"), wanted(F.col("_size"), F.col("_share")))
-    edges = sized.withColumn("_last", last).where((F.col("_upto") - F.col("_n") < F.col("_last")) & (F.col("_last") <= F.col("_upto")))
-    edges = edges.select(*group, F.col(SLICE).alias("_edge"), (F.col("_last") - F.col("_upto") + F.col("_n")).alias("_left"))
-    known = sliced.join(edges, list(group), "left")
-    on_edge = F.coalesce(F.col(SLICE) == F.col("_edge"), F.lit(False))
-    order = Window.partitionBy(*group, SLICE).orderBy("_hash", key.cast("string"))
-    sure = known.where(~on_edge).withColumn(out, F.coalesce(F.col(SLICE) < F.col("_edge"), F.lit(False)))
+    left = F.col("_last") - F.col("_upto") + F.col("_n")
+    parts = sized.withColumn("_last", last).select(*keys, left.alias("_left"), (left >= F.col("_n")).alias("_all"))
+    known = sliced.join(parts, keys, "left")
+    on_edge = F.coalesce((F.col("_left") > 0) & ~F.col("_all"), F.lit(False))
+    order = Window.partitionBy(*keys).orderBy("_hash", key.cast("string"))
+    sure = known.where(~on_edge).withColumn(out, F.coalesce(F.col("_all"), F.lit(False)))
     ranked = known.where(on_edge).withColumn(out, F.row_number().over(order) <= F.col("_left"))
     return sure.unionByName(ranked).select(*df.columns, out)
 
