@@ -90,3 +90,22 @@ def test_late_records_are_held_and_state_ends(spark, tmp_path):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         M.track_metrics(spark.createDataFrame([], "run string, metric string, step long, ts timestamp, value double"), {"loss": "least"})
+
+
+def test_runs_share_keys_but_nothing_else(spark, tmp_path):
+    draw = random.Random(13)
+    log = Log(spark, tmp_path, lateness_seconds=60, keep_seconds=600, buckets=3)
+    rows = [(f"r{i}", s, s, m, float(draw.randint(0, 9))) for i in range(40) for m in MODES for s in range(4)]
+    draw.shuffle(rows)
+    # Eighty runs and metrics have three keys.
+    assert log.arrive(*rows, *rows[:50])[-1] == 3
+    plain, _ = plain_history([(run, s, m, v) for run, s, _, m, v in rows])
+    assert log.got(M.improvements, MODES) == plain
+    assert log.got(M.metric_records) == sorted((run, m, s, v) for run, s, _, m, v in rows)
+    # Only r0 and r1 go on; the states of the others end within their keys.
+    log.arrive(("r0", 9, 500, "loss", -1.0), ("r1", 9, 500, "chrf", 50.0))
+    log.arrive(("r2", 9, 700, "loss", -1.0))
+    log.arrive(("r2", 10, 701, "loss", -2.0))
+    log.arrive(("r0", 9, 702, "loss", -5.0), ("r0", 3, 702, "loss", -5.0), ("r3", 3, 702, "loss", -5.0))
+    again = M._kind(spark, str(log.out), M.RECORD).groupBy("run", "metric", "step").count().where("count > 1").collect()
+    assert [(r.run, r.metric, r.step) for r in again] == [("r3", "loss", 3)]
