@@ -2,15 +2,18 @@ import math
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays as A
-from textloom.functions.ngrams import chrf_counts, chrf_matrix, exact_match_matrix
+from textloom.functions.ngrams import BLEU_ORDER, Symbols, chrf_counts, chrf_matrix, exact_match_matrix, pair_overlap, token_counts
 from textloom.operators import candidates as C
 from textloom.operators import fidelity as D
 from textloom.operators import mbr
 from textloom.operators import overlap as O
+from textloom.operators import tokens as K
 from tests import plain
 from tests.test_text import random_texts
 
@@ -223,3 +226,28 @@ def test_bleu_over_subwords(spark):
     for g in range(3):
         mine = [(encode(h or "", out_type=str), encode(r, out_type=str)) for k, h, r in rows if k == g]
         assert got[g] == (len(mine), pytest.approx(plain.bleu(mine)))
+
+
+def test_list_columns_are_counted_as_token_lists(spark):
+    draw = random.Random(31)
+    rows = [(i, *[[draw.choice("abcdé") for _ in range(draw.randint(0, 300))] for _ in range(2)]) for i in range(1500)]
+    rows += [(1500, [], []), (1501, [], ["a"])]
+    plainly = pair_overlap(Symbols.of_tokens([s for _, h, r in rows for s in (h, r)]), BLEU_ORDER).reshape(len(rows), -1)
+    sides = [pa.array([[], *[row[i] for row in rows]], pa.list_(pa.string())).slice(1) for i in (1, 2)]
+    assert (pair_overlap(Symbols.of_pairs(*sides), BLEU_ORDER).reshape(len(rows), -1) == plainly).all()
+    # More tokens in one partition than are counted together.
+    df = spark.createDataFrame(rows, "i int, h array<string>, r array<string>").coalesce(1)
+    found = df.select("i", token_counts(F.col("h"), F.col("r")).alias("c")).collect()
+    assert [list(row.c) for row in sorted(found)] == plainly.tolist()
+
+
+def test_pieces_of_many_texts_in_one_partition(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    # More characters than are taken apart together, one text by itself too.
+    texts = [" ".join(f"word{(i * j) % 97}" for j in range(i % 700)) for i in range(600)] + [None, "", "long text " * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    found = df.select("i", K.subword_tokens(spark, path)(F.col("t")).alias("p")).collect()
+    model = SentencePieceProcessor(model_file=path)
+    assert [row.p for row in sorted(found)] == [model.encode(t or "", out_type=str) for t in texts]

@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ _CODE_LIMIT = 1 << 62
 _COUNTS = T.ArrayType(T.LongType())
 # Characters counted together; bounds the memory of a batch of long texts.
 _CHUNK_CHARS = 1 << 21
+# Tokens counted together.
+_CHUNK_TOKENS = 1 << 18
 
 
 def chrf_words(text: str) -> list[str]:
@@ -66,6 +70,16 @@ class Symbols:
         codes = pd.factorize(flat)[0] if len(flat) else np.zeros(0, dtype=np.int64)
         return cls(codes, np.fromiter(map(len, sequences), np.int64, len(sequences)))
 
+    @classmethod
+    def of_pairs(cls, hyps: pa.ListArray, refs: pa.ListArray) -> "Symbols":
+        """Tokens of two list columns, hypothesis and reference in turn; no token becomes a Python string."""
+        sizes = np.stack([pc.list_value_length(side).to_numpy(zero_copy_only=False) for side in (hyps, refs)], axis=1).astype(np.int64)
+        tokens = pa.concat_arrays([hyps.flatten(), refs.flatten()]).dictionary_encode("encode")
+        pairs = 2 * np.arange(len(sizes))
+        owner = np.concatenate([np.repeat(pairs, sizes[:, 0]), np.repeat(pairs + 1, sizes[:, 1])])
+        codes = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return cls(codes[np.argsort(owner, kind="stable")], sizes.ravel())
+
     def grams(self, max_order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """Per order: owner and exact code of each gram, and the code bound."""
         ids, bound = self.ids, self.size
@@ -102,11 +116,11 @@ def pair_overlap(symbols: Symbols, max_order: int) -> np.ndarray:
     return out
 
 
-def _chunks(lengths: np.ndarray) -> Iterator[slice]:
-    """Consecutive rows of about ``_CHUNK_CHARS`` characters."""
+def _chunks(lengths: np.ndarray, size: int = _CHUNK_CHARS) -> Iterator[slice]:
+    """Consecutive rows of about ``size`` characters or tokens."""
     if len(lengths) == 0:
         return
-    bucket = np.cumsum(lengths) // _CHUNK_CHARS
+    bucket = np.cumsum(lengths) // size
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for lo, hi in zip(starts, np.r_[starts[1:], len(lengths)]):
         yield slice(int(lo), int(hi))
@@ -126,14 +140,15 @@ def _chrf_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(rows, index=hyp.index, dtype=object)
 
 
-@F.pandas_udf(_COUNTS)
-def _token_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    rows: list[np.ndarray] = []
-    for part in _chunks((hyp.map(len) + ref.map(len)).to_numpy(dtype=np.int64)):
-        sequences = [s for pair in zip(hyp[part], ref[part]) for s in pair]
-        counts = pair_overlap(Symbols.of_tokens(sequences), BLEU_ORDER)
-        rows += list(counts.reshape(len(counts), -1))
-    return pd.Series(rows, index=hyp.index, dtype=object)
+@F.arrow_udf(_COUNTS)
+def _token_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    lengths = [pc.list_value_length(side).to_numpy(zero_copy_only=False).astype(np.int64) for side in (hyp, ref)]
+    out = np.zeros((len(hyp), BLEU_ORDER * 3), dtype=np.int64)
+    for part in _chunks(lengths[0] + lengths[1], _CHUNK_TOKENS):
+        size = part.stop - part.start
+        symbols = Symbols.of_pairs(hyp.slice(part.start, size), ref.slice(part.start, size))
+        out[part] = pair_overlap(symbols, BLEU_ORDER).reshape(size, -1)
+    return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], out.ravel())
 
 
 def chrf_counts(hyp: Column, ref: Column) -> Column:

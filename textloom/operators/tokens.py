@@ -16,6 +16,8 @@ from textloom.operators.slices import number_rows
 # A vocabulary of at most this many bytes is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 _ENTRY_BYTES = 48
+# Characters whose pieces are Python strings at one time.
+_PIECED_CHARS = 1 << 18
 
 
 def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
@@ -62,6 +64,7 @@ def subword_tokens(spark: SparkSession, model_path: str) -> Callable[[Column], C
 
     The model is a file the driver can read; executors get its content.  Null counts as
     empty and has no pieces.  The result serves as ``tokens`` of the evaluation jobs.
+    A task holds the pieces of a few texts at a time, however many rows Spark sends together.
     """
     with open(model_path, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())
@@ -72,7 +75,10 @@ def subword_tokens(spark: SparkSession, model_path: str) -> Callable[[Column], C
 
         encoder = SentencePieceProcessor(model_proto=model.value)
         for texts in batches:
-            yield pd.Series(encoder.encode(texts.fillna("").tolist(), out_type=str, num_threads=1), index=texts.index, dtype=object)
+            texts = texts.fillna("")
+            part = texts.str.len().cumsum() // _PIECED_CHARS
+            for _, few in texts.groupby(part.to_numpy(), sort=False):
+                yield pd.Series(encoder.encode(few.tolist(), out_type=str, num_threads=1), index=few.index, dtype=object)
 
     return lambda text: run(text)
 
