@@ -197,3 +197,8 @@ def most_rows_of_a_part(spark, build):
 def test_sample_of_one_group_stays_dealt_out(spark):
     rows = spark.range(4000).withColumn("g", F.lit("a"))
     assert most_rows_of_a_part(spark, lambda: M.sample_frac(rows, ["g"], F.col("id"), 0.9, 1)) < 0.5
+
+
+def test_split_of_one_group_stays_dealt_out(spark):
+    rows = spark.range(4000).withColumn("g", F.lit("a"))
+    assert most_rows_of_a_part(spark, lambda: M.train_val_split(rows, ["g"], F.col("id"), 0.1, 3)) < 0.5
