@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,13 @@ def test_sample_of_one_group_stays_dealt_out(spark):
 def test_split_of_one_group_stays_dealt_out(spark):
     rows = spark.range(4000).withColumn("g", F.lit("a"))
     assert most_rows_of_a_part(spark, lambda: M.train_val_split(rows, ["g"], F.col("id"), 0.1, 3)) < 0.5
+
+
+def test_split_moves_rows_without_their_hash(spark):
+    rows = spark.range(3000).withColumn("g", F.when(F.col("id") % 10 == 0, "a").otherwise("b")).unionAll(spark.range(5).withColumn("g", F.lit("c")))
+    split = M.train_val_split(rows, ["g"], F.col("id"), 0.15, 3)
+    ranks = {g: sorted((hashlib.md5(f"3:{r.id}".encode()).hexdigest(), str(r.id)) for r in rows.collect() if r.g == g) for g in "abc"}
+    val = {(g, int(i)) for g, ids in ranks.items() for _, i in ids[:math.ceil(len(ids) * 0.15)]}
+    assert {(r.g, r.id) for r in split.collect() if r.part == "val"} == val
+    assert split.count() == rows.count()
+    assert "_hash" not in split._jdf.queryExecution().optimizedPlan().toString()

@@ -35,9 +35,13 @@ def range_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def _seeded_hash(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
 def hash_slices(df: DataFrame, key: Column, seed: int) -> DataFrame:
     """Slice by a seeded hash of the row key; also adds the hash as ``_hash``."""
-    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))))
+    hashed = df.withColumn("_hash", _seeded_hash(key, seed))
     digits = _HASH_DIGITS
     if (rows := df.count()) > _SLICE_ROWS * 16 ** digits:
         digits = math.ceil(math.log(rows / _SLICE_ROWS, 16))
@@ -78,9 +82,10 @@ def take_by_hash(
 
     ``share`` is one value per group.  How many rows a slice gives is joined to its rows by
     group and slice, so rows of a large group stay dealt out; only the one slice per group
-    that is taken in part is sorted.
+    that is taken in part is sorted.  Rows are moved without their hash; that of the sorted
+    ones is made again.
     """
-    sliced = hash_slices(df, key, seed)
+    sliced = hash_slices(df, key, seed).drop("_hash")
     keys = [*group, SLICE]
     counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(share).alias("_share"))
     of_group = Window.partitionBy(*group)
@@ -91,7 +96,7 @@ def take_by_hash(
     parts = sized.withColumn("_last", last).select(*keys, left.alias("_left"), (left >= F.col("_n")).alias("_all"))
     known = sliced.join(parts, keys, "left")
     on_edge = F.coalesce((F.col("_left") > 0) & ~F.col("_all"), F.lit(False))
-    order = Window.partitionBy(*keys).orderBy("_hash", key.cast("string"))
+    order = Window.partitionBy(*keys).orderBy(_seeded_hash(key, seed), key.cast("string"))
     sure = known.where(~on_edge).withColumn(out, F.coalesce(F.col("_all"), F.lit(False)))
     ranked = known.where(on_edge).withColumn(out, F.row_number().over(order) <= F.col("_left"))
     return sure.unionByName(ranked).select(*df.columns, out)
