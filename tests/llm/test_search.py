@@ -39,6 +39,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_that_grow_with_the_corpus_are_not_broadcast(spark):
+    def joins(df):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return [line for line in lines if "Join" in line]
+
+    # Spark takes 64 variants of a fingerprint to be as large as the fingerprint.
+    found = joins(simhash.links(spark.createDataFrame([(v,) for v in range(9)], "fingerprint long")))
+    assert found and all("SortMergeJoin" in line for line in found)
+    # Equal rows make a small file, which Spark takes to be the size of its rows.
+    docs = spark.createDataFrame([(1, "one two three four")] * 50, "doc_id long, text string")
+    placed = simhash.near_components(docs)
+    assert "SortMergeJoin" in joins(placed)[0]
+    assert [tuple(r) for r in placed.select("doc_id", "component_id").collect()] == [(1, 1)] * 50
+
+
 @pytest.mark.parametrize("block,narrow,bits", [(4096, 16, 3), (40, 4, 3), (4096, 16, 1)])
 def test_links_join_what_all_pairs_join(spark, monkeypatch, block, narrow, bits):
     monkeypatch.setattr(simhash, "BLOCK", block)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, kept, row_key, small_batches, whole, whole_rows
+from textloom.llm.common import ascii_lower, kept, row_key, shuffled, small_batches, whole, whole_rows
 from textloom.llm.components import components
 
 SHINGLE = 3
@@ -113,7 +113,7 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     )
     first = placed.groupBy("root").agg(F.min("first").alias("first"))
     named = placed.select("fingerprint", "root").join(first, "root").select("fingerprint", "first")
-    return rows.join(named, "fingerprint").select(
+    return shuffled(rows).join(named, "fingerprint").select(
         F.col("_id").alias(doc_id), rows["row_key"], "fingerprint",
         F.col("first._id").alias("component_id"), F.col("first.row_key").alias("keeper"),
     )
@@ -149,7 +149,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     shared = indexed.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
-    met = indexed.join(shared.select("variant", blocks.alias("blocks")), "variant").select(
+    # 64 times the rows that Spark takes them for.
+    met = shuffled(indexed).join(shared.select("variant", blocks.alias("blocks")), "variant").select(
         "variant", "fingerprint", mine.alias("block"), "blocks"
     )
     units = met.select(
