@@ -8,11 +8,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import repeats, simhash
+from textloom.llm import common, repeats, simhash
 from textloom.llm.ann import learn_coder, nearest
 from textloom.llm.components import components
-from textloom.llm.decontaminate import contamination_digest
+from textloom.llm.decontaminate import contamination, contamination_digest
 from textloom.llm.queries import op4_ann
+from textloom.llm.secrets import scan_secrets
 
 
 def roots(n, pairs):
@@ -39,7 +40,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_rows_that_grow_with_the_corpus_are_not_broadcast(spark):
+def test_rows_that_grow_with_the_corpus_are_not_broadcast(spark, monkeypatch):
     def joins(df):
         lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
         return [line for line in lines if "Join" in line]
@@ -47,6 +48,14 @@ def test_rows_that_grow_with_the_corpus_are_not_broadcast(spark):
     # Spark takes 64 variants of a fingerprint to be as large as the fingerprint.
     found = joins(simhash.links(spark.createDataFrame([(v,) for v in range(9)], "fingerprint long")))
     assert found and all("SortMergeJoin" in line for line in found)
+    words = " ".join(map(str, range(12)))
+    text = spark.createDataFrame([(1, words + ' token="abcdef123"', "a")], "doc_id long, text string, source string")
+    assert [line for line in joins(scan_secrets(text)) if "Inner" in line and "SortMergeJoin" not in line] == []
+    # A benchmark too large to be broadcast; each hit holds its whole text.
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    hits = contamination(text, spark.createDataFrame([("i", words)], "item_id string, text string"))
+    assert [line for line in joins(hits) if "Inner" in line and "SortMergeJoin" not in line] == []
+    assert [tuple(r) for r in hits.select("hit_words", "items").collect()] == [([*range(1, 13)], ["i"])]
     # Equal rows make a small file, which Spark takes to be the size of its rows.
     docs = spark.createDataFrame([(1, "one two three four")] * 50, "doc_id long, text string")
     placed = simhash.near_components(docs)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ascii_lower, kept, lookup, row_key, whole, whole_rows
+from textloom.llm.common import ascii_lower, kept, lookup, row_key, shuffled, whole, whole_rows
 
 WINDOW = 10
 # Between words: ASCII that is neither a digit nor a lower-case letter, after lower-casing.
@@ -88,7 +88,7 @@ def contamination(
         own = F.transform("gram", lambda w: F.xxhash64(w))
         wanted = known.select("size", "gram", "items", _window_hash(own, F.lit(0), F.col("size"), sizes).alias("hash"))
         bounded = lookup(wanted, 2 * F.octet_length(F.array_join("gram", " ")) + 2 * F.octet_length(F.array_join("items", " ")) + 300)
-        same = begun.join(bounded, ["hash", "size"]).filter(F.slice("_words", F.col("_at") + 1, F.col("size")) == F.col("gram"))
+        same = shuffled(begun).join(bounded, ["hash", "size"]).filter(F.slice("_words", F.col("_at") + 1, F.col("size")) == F.col("gram"))
         hits = same.select("row_key", "_at", F.col("size").alias("_size"), "items")
     rows = texts.select("_id", "row_key", F.size("_words").cast("long").alias("n_words"))
     if hits is None:

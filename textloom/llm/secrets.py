@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import kept, row_key, whole, whole_rows
+from textloom.llm.common import kept, row_key, shuffled, whole, whole_rows
 from textloom.llm.spans import any_case, count_of, located, written
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -102,10 +102,11 @@ def scan_secrets(
     owned = ownership(found, "_owner", "_repository").filter(
         (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     )
+    held = found.filter(F.size("secrets") > 0).select(
+        "row_key", F.explode(F.array_distinct(F.transform("secrets", lambda s: s["digest"]))).alias("digest")
+    )
     holders = (
-        found.filter(F.size("secrets") > 0)
-        .select("row_key", F.explode(F.array_distinct(F.transform("secrets", lambda s: s["digest"]))).alias("digest"))
-        .join(owned.select("digest"), "digest")
+        shuffled(held).join(owned.select("digest"), "digest")
         .groupBy("row_key").agg(F.collect_set("digest").alias("_digests"))
     )
     judged = found.join(holders, "row_key", "left")
