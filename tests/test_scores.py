@@ -251,3 +251,18 @@ def test_pieces_of_many_texts_in_one_partition(spark):
     found = df.select("i", K.subword_tokens(spark, path)(F.col("t")).alias("p")).collect()
     model = SentencePieceProcessor(model_file=path)
     assert [row.p for row in sorted(found)] == [model.encode(t or "", out_type=str) for t in texts]
+
+
+def test_texts_and_pieces_come_in_bounded_batches_to_one_worker(spark):
+    pieces = K.subword_tokens(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    df = spark.range(0, 1200, 1, 1).select("id", F.repeat(F.lit("some words "), 1000).alias("t"))
+    both = df.select("id", pieces(F.col("t")).alias("h"), pieces(F.upper("t")).alias("r"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+    @F.arrow_udf("int")
+    def rows_together(texts: pa.Array) -> pa.Array:
+        return pa.array([len(texts)] * len(texts), pa.int32())
+
+    # 11 kB each, so 4 MB are under 400 texts.
+    assert df.agg(F.max(rows_together("t"))).first()[0] < 400
+    assert both.where("size(h) >= 2000 AND size(r) >= 2000").count() == 1200

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ BROADCAST_BYTES = 64 << 20
 _ENTRY_BYTES = 48
 # Characters whose pieces are Python strings at one time.
 _PIECED_CHARS = 1 << 18
+# Bytes of texts, or of their pieces, that a task's Python worker gets at one time, a row at least.
+_BATCH_BYTES = 4 << 20
 
 
 def build_vocabulary(df: DataFrame, tokens: str) -> DataFrame:
@@ -64,21 +67,30 @@ def subword_tokens(spark: SparkSession, model_path: str) -> Callable[[Column], C
 
     The model is a file the driver can read; executors get its content.  Null counts as
     empty and has no pieces.  The result serves as ``tokens`` of the evaluation jobs.
-    A task holds the pieces of a few texts at a time, however many rows Spark sends together.
+    A task holds the pieces of a few texts at a time: Arrow batches of this session are cut by bytes.
     """
     with open(model_path, "rb") as file:
         model = spark.sparkContext.broadcast(file.read())
+    # A batch is held by the JVM and by a worker, for the texts and for what is made of them.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    encoders = []
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Not over an iterator: two such columns would have a Python worker each.
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
         from sentencepiece import SentencePieceProcessor
 
-        encoder = SentencePieceProcessor(model_proto=model.value)
-        for texts in batches:
-            texts = texts.fillna("")
-            part = texts.str.len().cumsum() // _PIECED_CHARS
-            for _, few in texts.groupby(part.to_numpy(), sort=False):
-                yield pd.Series(encoder.encode(few.tolist(), out_type=str, num_threads=1), index=few.index, dtype=object)
+        if not encoders:
+            encoders.append(SentencePieceProcessor(model_proto=model.value))
+        kind = pa.list_(pa.string())
+        made, few, chars = [pa.array([], kind)], [], 0
+        for text in texts:
+            few.append(text.as_py() or "")
+            chars += len(few[-1])
+            if chars >= _PIECED_CHARS:
+                made.append(pa.array(encoders[0].encode(few, out_type=str, num_threads=1), kind))
+                few, chars = [], 0
+        return pa.concat_arrays([*made, pa.array(encoders[0].encode(few, out_type=str, num_threads=1), kind)])
 
     return lambda text: run(text)
 
